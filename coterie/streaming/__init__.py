@@ -1,0 +1,2 @@
+"""Empty on purpose: every input is read once and in whole, so no operator of
+this package is a streaming one."""
