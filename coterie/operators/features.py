@@ -37,10 +37,13 @@ def drop_null_columns(df: DataFrame, how: str = "any", keep: Sequence[str] = ())
     cols = [c for c in df.columns if c not in keep]
     if not cols:
         return df
-    present = {f.name: F.count(F.when(~F.isnan(f.name), 1) if f.dataType.typeName() in ("double", "float")
-                               else F.col(f"`{f.name}`"))
-               for f in df.schema if f.name in cols}
-    row = df.agg(F.count(F.lit(1)).alias("_n"), *[c.alias(n) for n, c in present.items()]).first()
+
+    def present(field):
+        col = F.col(f"`{field.name}`")
+        is_float = field.dataType.typeName() in ("double", "float")
+        return F.count(F.when(col.isNotNull() & ~F.isnan(col), 1) if is_float else col).alias(field.name)
+
+    row = df.agg(F.count(F.lit(1)).alias("_n"), *[present(f) for f in df.schema if f.name in cols]).first()
     bad = [c for c in cols if (row[c] < row["_n"] if how == "any" else row[c] == 0)]
     return df.drop(*bad)
 
