@@ -357,7 +357,7 @@ def q_classify(method):
 
 def reduced(spark, sf):
     """Preprocessed principal components of the whole matrix."""
-    chosen = features.select_genes(long_x(spark, sf), None, 500).select("sample_id", "gene", "value")
+    chosen = cut_lineage(features.select_genes(long_x(spark, sf), None, 500).select("sample_id", "gene", "value"))
     return cut_lineage(features.reduce_dim(features.preprocess(chosen)))
 
 

@@ -13,6 +13,7 @@ from coterie.operators.kmeans import N_INIT, SEED, kmeans
 from coterie.operators.labels import canonical
 from coterie.operators.neighbors import cheapest, knn_affinity
 from coterie.plans.cells import BLOCK_ROWS, matrix
+from coterie.plans.partials import sum_partials
 from coterie.session import cut_lineage, shuffle_width
 
 # --- Ward -----------------------------------------------------------------
@@ -248,8 +249,7 @@ def _gram(basis: DataFrame, width: int) -> np.ndarray:
         i, j = np.triu_indices(width)
         yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
 
-    rows = basis.select("features").mapInPandas(partial, "i int, j int, v double").groupBy("i", "j").agg(
-        F.sum("v").alias("v")).toPandas()
+    rows = sum_partials(basis.select("features"), partial, {"i": "int", "j": "int"}, basis.rdd.getNumPartitions())
     gram = np.zeros((width, width))
     gram[rows["i"], rows["j"]] = rows["v"]
     return gram + np.triu(gram, 1).T

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from coterie.functions.tables import to_wide
+from coterie.session import cut_lineage
 
 # A selection of this size is safe to broadcast as a list of keys.
 MAX_SELECTED = 100_000
@@ -135,5 +136,6 @@ def pca(samples: DataFrame, n: int | None = None, max_components: int = 50) -> D
 
 def reduce_dim(expr: DataFrame, max_components: int = 50) -> DataFrame:
     """Complete long cells to (sample_id, component scores)."""
-    samples, _ = to_wide(expr)
+    # Written once: the fits below read the rows several times.
+    samples = cut_lineage(to_wide(expr)[0])
     return pca(samples, max_components=max_components)

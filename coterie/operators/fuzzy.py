@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from coterie.functions.columns import unit_hash
 from coterie.plans.cells import matrix
+from coterie.plans.partials import sum_partials
 
 # Fuzziness, stopping change, pass limit.
 FUZZINESS, ERROR, MAX_PASSES = 2.0, 0.005, 1000
@@ -53,7 +54,7 @@ def _summarise(x, w, u0, centres, previous, m) -> dict[tuple[int, int], float]:
     return out
 
 
-def _distributed_pass(points: DataFrame, centres, previous, m) -> dict[tuple[int, int], float]:
+def _distributed_pass(points: DataFrame, centres, previous, m, n_tasks) -> dict[tuple[int, int], float]:
     def partial(batches):
         total: dict = {}
         for pdf in batches:
@@ -64,8 +65,8 @@ def _distributed_pass(points: DataFrame, centres, previous, m) -> dict[tuple[int
                     total[key] = total.get(key, 0.0) + v
         yield pd.DataFrame([(c, i, v) for (c, i), v in total.items()], columns=["c", "i", "v"])
 
-    sums = points.mapInPandas(partial, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v"))
-    return {(r.c, r.i): r.v for r in sums.collect()}
+    sums = sum_partials(points, partial, {"c": "int", "i": "int"}, n_tasks)
+    return {(r.c, r.i): r.v for r in sums.itertuples()}
 
 
 @dataclass
@@ -116,9 +117,10 @@ def fuzzy_cmeans(samples: DataFrame, k: int, m: float = FUZZINESS, error: float
                  max_passes: int = MAX_PASSES, seed: int = 42) -> FuzzyResult:
     """Fuzzy c-means of ``samples(sample_id, features[, w])``; ``w`` is a weight."""
     points = with_start(samples, k, seed).persist()
+    n_tasks = points.rdd.getNumPartitions()
     d = points.select(F.size("features").alias("d")).first().d
     try:
-        return iterate(lambda c, p: _distributed_pass(points, c, p, m), k, d, error, max_passes, m)
+        return iterate(lambda c, p: _distributed_pass(points, c, p, m, n_tasks), k, d, error, max_passes, m)
     finally:
         points.unpersist()
 
@@ -132,5 +134,5 @@ def fuzzy_cmeans_rows(x: np.ndarray, w: np.ndarray, u0: np.ndarray, m: float = F
 def fcm_pass(samples: DataFrame, centres: np.ndarray, m: float = FUZZINESS) -> np.ndarray:
     """Centres after one pass from the given ones."""
     points = with_start(samples, len(centres), 0)
-    sums = _distributed_pass(points, np.asarray(centres, dtype=float), np.asarray(centres, dtype=float), m)
-    return _next_centres(sums, len(centres), np.asarray(centres).shape[1])
+    at = np.asarray(centres, dtype=float)
+    return _next_centres(_distributed_pass(points, at, at, m, points.rdd.getNumPartitions()), *at.shape)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from coterie.operators.labels import canonical
 from coterie.plans.cells import matrix
+from coterie.plans.partials import sum_partials
 
 # Seed, starts, passes per start, centre movement (relative to the
 # mean feature variance) that ends a fit.
@@ -67,7 +68,7 @@ def _spread_starts(points: DataFrame, k: int, seeds: list[int]) -> list[np.ndarr
     return [np.array(c) for c in chosen]
 
 
-def _lloyd_pass(points: DataFrame, fits: dict[int, np.ndarray]) -> dict[tuple[int, int], np.ndarray]:
+def _lloyd_pass(points: DataFrame, fits: dict[int, np.ndarray], n_tasks: int) -> dict[int, np.ndarray]:
     """Sums per (fit, centre): features, mass, cost, squared norms."""
     ids = list(fits)
     stacked = np.vstack([fits[f] for f in ids])
@@ -90,7 +91,7 @@ def _lloyd_pass(points: DataFrame, fits: dict[int, np.ndarray]) -> dict[tuple[in
         row, col = np.nonzero(total)
         yield pd.DataFrame({"c": row.astype("int32"), "i": col.astype("int32"), "v": total[row, col]})
 
-    sums = points.mapInPandas(partial, "c int, i int, v double").groupBy("c", "i").agg(F.sum("v").alias("v")).toPandas()
+    sums = sum_partials(points, partial, {"c": "int", "i": "int"}, n_tasks)
     table = np.zeros((len(stacked), d + 3))
     table[sums["c"], sums["i"]] = sums["v"]
     return {f: table[a:b] for f, a, b in zip(ids, bounds[:-1], bounds[1:])}
@@ -102,6 +103,7 @@ def kmeans_centres(samples: DataFrame, ks: list[int], seed: int = SEED, n_init:
     features[, w])``; ``w`` is a weight."""
     w = F.col("w").cast("double") if "w" in samples.columns else F.lit(1.0)
     points = samples.select("features", w.alias("w"), F.xxhash64("sample_id").alias("h")).persist()
+    n_tasks = points.rdd.getNumPartitions()
     seeds = [seed + i for i in range(n_init)]
     starts = _spread_starts(points, max(ks), seeds)
     jobs = [(k, i) for k in ks for i in range(n_init)]
@@ -111,7 +113,7 @@ def kmeans_centres(samples: DataFrame, ks: list[int], seed: int = SEED, n_init:
         if not active:
             break
         moved = {}
-        for f, table in _lloyd_pass(points, active).items():
+        for f, table in _lloyd_pass(points, active, n_tasks).items():
             d = table.shape[1] - 3
             mass = table[:, d : d + 1]
             old = active[f]

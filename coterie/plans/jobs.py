@@ -85,7 +85,8 @@ def analyse(expr: DataFrame, y: DataFrame, k_genes: int = 500, k_range: tuple[in
     ``expr(sample_id, gene, value)``, ``y(sample_id, y)``.  Returns the result
     tables by name.
     """
-    chosen = select_genes(expr.select("sample_id", "gene", "value"), y, k_genes)
+    # At most k_genes genes are left here; the whole input is read for this only.
+    chosen = cut_lineage(select_genes(expr.select("sample_id", "gene", "value"), y, k_genes))
     samples = cut_lineage(reduce_dim(preprocess(chosen)))
     k = find_best_k(samples, *k_range, seed=seed, n_init=n_init)
     labels = cut_lineage(fuzzy_ensemble(samples, k, seed, n_init))
