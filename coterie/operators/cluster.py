@@ -110,10 +110,12 @@ def ward(samples: DataFrame, k: int, finish_rows: int = 2048, block_rows: int =
     undone = {t[3] for t in sorted(tops, reverse=True)[: max(0, k - 1)]}
 
     member = vectors.select("features", F.col("id").alias("cluster"))
-    for pairs in rounds:
+    for i, pairs in enumerate(rounds):
         step = pairs.filter(~F.col("gone").isin(list(undone))) if undone else pairs
         member = member.join(step.select(F.col("gone").alias("cluster"), "keep"), "cluster", "left").select(
             "features", F.coalesce("keep", "cluster").alias("cluster"))
+        if i % 8 == 7:
+            member = cut_lineage(member)
     root: dict = {}
     for m in reversed(last):
         if m.gone not in undone:
@@ -142,7 +144,7 @@ def _start_columns(p: int, seed: int) -> list:
 
 
 def _embed_in_one_task(edges: DataFrame, base: DataFrame, p: int, k: int, steps: int, tol: float,
-                       max_restarts: int) -> DataFrame:
+                       max_restarts: int, seed: int) -> DataFrame:
     """The same iteration for a graph bounded by ``finish_rows`` nodes."""
     sid = base.schema["sample_id"].dataType.simpleString()
 
@@ -166,7 +168,7 @@ def _embed_in_one_task(edges: DataFrame, base: DataFrame, p: int, k: int, steps:
         return pd.DataFrame({"sample_id": nodes["sample_id"], "features": list(v[:, : min(k, p)] / size[:, None])})
 
     left = edges.withColumn("all", F.lit(0)).groupBy("all")
-    right = base.withColumn("start", F.array(*_start_columns(p, SEED))).select(
+    right = base.withColumn("start", F.array(*_start_columns(p, seed))).select(
         F.col("sample_id").alias("sample_id"), F.col("deg").alias("deg"), "start", F.lit(0).alias("all")).groupBy("all")
     return left.cogroup(right).applyInPandas(solve, f"sample_id {sid}, features array<double>")
 
@@ -191,7 +193,7 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int =
     n = base.count()
     p = min(k + 2, n)
     if n <= finish_rows:
-        return _embed_in_one_task(edges, base, p, k, steps, tol, max_restarts)
+        return _embed_in_one_task(edges, base, p, k, steps, tol, max_restarts, seed)
     root = base.select("sample_id", F.sqrt("deg").alias("r"), "keys")
     links = edges.join(root.select(F.col("sample_id").alias("i"), F.col("r").alias("ri")), "i").join(
         root.select(F.col("sample_id").alias("j"), F.col("r").alias("rj"), "keys"), "j").select(

@@ -82,9 +82,12 @@ def select_genes(expr: DataFrame, labels: DataFrame | None = None, k: int = 500)
     return expr.join(F.broadcast(top) if k <= MAX_SELECTED else top, "gene", "left_semi")
 
 
-def standardize(expr: DataFrame) -> DataFrame:
-    """Mean 0 and population std 1 per gene; a zero std divides by 1."""
+def standardize(expr: DataFrame, keep_flat: bool = True) -> DataFrame:
+    """Mean 0 and population std 1 per gene.  A constant gene is divided by 1, or
+    left out without ``keep_flat``."""
     stats = expr.groupBy("gene").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
+    if not keep_flat:
+        stats = stats.filter(F.col("_sd") > 0)
     scaled = (F.col("value") - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
     return expr.join(stats, "gene").withColumn("value", scaled).drop("_mean", "_sd")
 
@@ -112,6 +115,9 @@ def preprocess(expr: DataFrame, k_neighbours: int = 5, threshold: float = 0.01)
     from coterie.operators.impute import knn_impute
 
     filled = knn_impute(log1p_values(shift_nonneg(expr)), k_neighbours)
+    if 0 <= threshold < 1:
+        # A standardised gene has variance 1, a constant one 0.
+        return standardize(filled, keep_flat=False)
     return variance_threshold(standardize(filled), threshold)
 
 

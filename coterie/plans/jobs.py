@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from coterie.operators.consensus import fuzzy_ensemble
 from coterie.operators.features import preprocess, reduce_dim, select_genes
 from coterie.operators.figures import ablation_bars, heatmap_cells, project_2d, silhouette_histogram
-from coterie.operators.ids import align_labels, convert_prefixed_ids, dedup_mean, map_probes
+from coterie.operators.ids import align_labels, convert_prefixed_ids, map_probes
 from coterie.operators.kmeans import N_INIT, SEED
 from coterie.operators.metrics import evaluate, silhouette_samples
 from coterie.operators.qc import batch_zscore, merge_datasets, qc_filter, shape_report
@@ -23,13 +24,16 @@ from coterie.sources.sinks import write_result
 @dataclass
 class Dataset:
     """How to get one data set.  ``load`` returns long cells (sample_id, gene,
-    value); ``labels`` (sample_id, y, ord); the mappings are optional."""
+    value); ``labels`` (sample_id, y, ord); the mappings are optional.
+    ``sample_order(sample_id, ord)`` gives the order of the samples, needed only
+    where label IDs match none of them and labels are taken by position."""
 
     name: str
     load: Callable[[SparkSession], DataFrame]
     labels: Callable[[SparkSession], DataFrame]
     gene_info: DataFrame | None = None
     probe_map: DataFrame | None = None
+    sample_order: DataFrame | None = None
 
 
 def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -37,10 +41,10 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
     symbols, filtered, z-scored, merged on common genes when there are several.
 
     A data set that fails is left out and its error recorded.  Loading is checked
-    with one small job each; cleaning then runs for all of them in one plan keyed
-    by ``dataset``.
+    by reading one row of each; cleaning then runs for all of them in one plan
+    keyed by ``dataset``.
     """
-    parts, labels, report = [], [], []
+    parts, labels, places, report = [], [], [], []
     for i, spec in enumerate(specs):
         try:
             expr = spec.load(spark)
@@ -50,27 +54,31 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
             named = expr.select(F.lit(spec.name).alias("dataset"), "sample_id", "gene", "value")
             if spec.gene_info is not None:
                 named = convert_prefixed_ids(named, spec.gene_info)
-            named = dedup_mean(map_probes(named, spec.probe_map) if spec.probe_map is not None else named)
-            if named.isEmpty():
-                raise ValueError("no gene left after ID conversion")
+            named = map_probes(named, spec.probe_map) if spec.probe_map is not None else named
             y = spec.labels(spark).select(F.lit(spec.name).alias("dataset"), F.lit(i).alias("dataset_ord"),
                                           "sample_id", "y", "ord")
             parts.append(named)
             labels.append(y)
+            order = y if spec.sample_order is None else spec.sample_order
+            places.append(order.select(F.lit(spec.name).alias("dataset"), "sample_id", F.col("ord").cast("long").alias("ord")))
             report.append((i, spec.name, True, None))
         except Exception as error:  # one bad data set must not stop the others
             report.append((i, spec.name, False, f"{type(error).__name__}: {error}"[:500]))
     if not parts:
         raise ValueError(f"no data set could be loaded: {report}")
-    expr, y = parts[0], labels[0]
-    for more, more_y in zip(parts[1:], labels[1:]):
-        expr, y = expr.unionByName(more), y.unionByName(more_y)
+    expr, y, place = (reduce(DataFrame.unionByName, group) for group in (parts, labels, places))
     clean = cut_lineage(batch_zscore(qc_filter(expr)))
-    place = y.groupBy("dataset", "sample_id").agg(F.min("ord").alias("ord"))
+    alive = {r.dataset for r in clean.select("dataset").distinct().collect()}
+    if not alive:
+        raise ValueError("no cell of any data set passed conversion and quality control")
+    # An emptied data set is reported, not merged: it would leave no common gene.
+    report = [(i, name, ok and name in alive, error if not ok or name in alive else
+               "no cell left after ID conversion and quality control") for i, name, ok, error in report]
+    place = place.groupBy("dataset", "sample_id").agg(F.min("ord").alias("ord"))
     surviving = clean.select("dataset", "sample_id").distinct().join(place, ["dataset", "sample_id"])
     order = y.select("dataset", "dataset_ord").distinct()
     kept = align_labels(y, surviving).join(order, "dataset")
-    if len(parts) > 1:
+    if len(alive) > 1:
         clean, kept = merge_datasets(clean, kept, "dataset_ord")
     key = F.concat_ws("/", "dataset", "sample_id").alias("sample_id")
     summary = spark.createDataFrame(report, "ord int, dataset string, loaded boolean, error string")

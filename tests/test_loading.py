@@ -158,6 +158,16 @@ def test_a_failing_data_set_is_skipped_and_reported(spark):
         load_datasets(spark, [specs(spark)[1]])
 
 
+def test_labels_by_position_when_no_id_matches(spark):
+    one, _, two = specs(spark)
+    codes = two.labels
+    two.labels = lambda s: codes(s).withColumn("sample_id", F.concat(F.lit("other-"), "sample_id"))
+    two.sample_order = codes(spark).select("sample_id", "ord")
+    _, y, _ = load_datasets(spark, [one, two])
+    got = {r.sample_id: r.y for r in y.filter("dataset = 'two'").collect()}
+    assert got == {f"two/s{i}": i % 2 + 2 for i in range(40)}
+
+
 def test_whole_job_on_two_data_sets(spark, tmp_path):
     out = run_multi(spark, specs(spark), n_init=2, n_trees=5, k_range=(2, 3))
     row = out["metrics"].first()
