@@ -35,6 +35,8 @@ def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
 
 
 def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    shift = centres.mean(0)  # keeps the products below small
+    x, centres = x - shift, centres - shift
     return np.maximum((x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None, :], 0.0)
 
 

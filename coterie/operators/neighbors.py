@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from coterie.plans.cells import BLOCK_ROWS, Cells, build_cells, matrix, meet, meet_all, visit_cells
 
+# Up to this many blocks of points, every block is compared.
+FEW_BLOCKS = 2
+# Candidates measured at a time.
+CHUNK = 1 << 15
+
 
 def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
@@ -22,8 +27,10 @@ def _best_kernel(k: int, ward: bool, skip_self: bool):
             return pd.DataFrame({"qid": [], "pid": [], "cost": []})
         a, b = matrix(queries["features"]), matrix(points["features"])
         qid, pid = np.array(queries["qid"].tolist()), np.array(points["pid"].tolist())
-        a2, b2 = (a**2).sum(1), (b**2).sum(1)
-        d2 = a2[:, None] + b2[None, :] - 2 * a @ b.T
+        centre = b.mean(0)
+        ac, bc = a - centre, b - centre
+        a2, b2 = (ac**2).sum(1), (bc**2).sum(1)
+        d2 = a2[:, None] + b2[None, :] - 2 * ac @ bc.T
         slack = 1e-10 * (a2[:, None] + b2[None, :])
         if ward:
             wa, wb = queries["w"].to_numpy()[:, None], points["w"].to_numpy()[None, :]
@@ -36,7 +43,10 @@ def _best_kernel(k: int, ward: bool, skip_self: bool):
         # The products above round; every candidate within the rounding error of
         # the k-th is measured again from the differences.
         rows, cols = np.nonzero((d2 - slack <= reach[:, None]) & np.isfinite(d2))
-        cost = ((a[rows] - b[cols]) ** 2).sum(1)
+        cost = np.empty(len(rows))
+        for s in range(0, len(rows), CHUNK):
+            at = slice(s, s + CHUNK)
+            cost[at] = ((a[rows[at]] - b[cols[at]]) ** 2).sum(1)
         if ward:
             cost = cost * factor[rows, cols]
         order = np.lexsort((pid[cols], cost, rows))
@@ -51,18 +61,21 @@ def _best_kernel(k: int, ward: bool, skip_self: bool):
 def _bound(cells: Cells, ward: bool):
     """Lower bound of the cost between a query and any point of each cell: the
     bisector between two pivots, and the ball around a pivot."""
-    pivots, radius, w_min = (cells.pivots, cells.stats["radius"].to_numpy(), cells.stats["w_min"].to_numpy())
-    gaps = np.sqrt(np.maximum(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(2), 0.0)) \
-        if len(pivots) <= 64 else np.sqrt(np.maximum(
-            (pivots**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * pivots @ pivots.T, 0.0))
+    radius, w_min = cells.stats["radius"].to_numpy(), cells.stats["w_min"].to_numpy()
+    centre = cells.pivots.mean(0)
+    pivots = cells.pivots - centre
+    norms = (pivots**2).sum(1)
+    gaps = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2 * pivots @ pivots.T, 0.0))
+    apart = gaps > 1e-5 * np.sqrt(norms.max() + 1e-300)
 
     def lower(x: np.ndarray, w: np.ndarray, cell: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        # Distances to pivots come from products; ``err`` covers their rounding.
+        err = 1e-11 * (((x - centre) ** 2).sum(1)[:, None] + norms[None, :])
         own = d2[np.arange(len(cell)), cell][:, None]
-        gap = gaps[cell]
-        bisector = np.where(gap > 1e-9, (d2 - own) / (2 * np.maximum(gap, 1e-9)), 0.0)
-        low = np.maximum(np.maximum(bisector, np.sqrt(d2) - radius[None, :]), 0.0)
-        # Pivot distances come from products: allow for their rounding.
-        low = np.maximum(low - 1e-6 * (1.0 + np.sqrt(d2)), 0.0)
+        gap = np.where(apart[cell], gaps[cell], np.inf)
+        bisector = (d2 - own - 2 * err) / (2 * gap * (1 + 1e-5))
+        ball = np.sqrt(np.maximum(d2 - err, 0.0)) - radius[None, :] - np.sqrt(err)
+        low = np.maximum(np.maximum(bisector, ball), 0.0)
         cost = low**2
         if ward:
             cost = cost * (w[:, None] * w_min[None, :] / (w[:, None] + w_min[None, :]))
@@ -100,25 +113,20 @@ def cheapest(queries: DataFrame, points: DataFrame, k: int, ward: bool = False,
     return best(meet(cells, visits, kernel, schema, block_rows))
 
 
-# Up to this many blocks of points, every block is compared.
-FEW_BLOCKS = 2
-
-
 def knn(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(sample_id, neighbor_id, dist, rank): the k nearest points by Euclidean
     distance, equal distances by smaller ``neighbor_id``; a point is no neighbour
     of itself.  Exact.
 
-    Where many samples are copies of others, equal vectors are searched once and
-    stand for all their samples, so a group of copies costs one row of the search.
+    Beyond a few blocks of points, equal vectors are searched once and stand for
+    all their samples, so a group of copies costs one row of the search.
     """
-    size = points.agg(F.count(F.lit(1)).alias("n"),
-                      F.approx_count_distinct(F.xxhash64("features")).alias("distinct")).first()
-    if size.distinct > 0.7 * size.n:
+    n_points = points.count()
+    if n_points <= FEW_BLOCKS * block_rows:
         q = queries.select(F.col("sample_id").alias("qid"), "features", F.lit(1.0).alias("w"))
         p = points.select(F.col("sample_id").alias("pid"), "features", F.lit(1.0).alias("w"))
         # One more than k, as a query that is itself a point finds itself.
-        near = cheapest(q, p, k + 1, block_rows=block_rows, n_points=size.n).filter("qid <> pid")
+        near = cheapest(q, p, k + 1, block_rows=block_rows, n_points=n_points).filter("qid <> pid")
         again = Window.partitionBy("qid").orderBy("rank")
         return near.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= k).select(
             F.col("qid").alias("sample_id"), F.col("pid").alias("neighbor_id"), F.sqrt("cost").alias("dist"), "rank")

@@ -30,6 +30,8 @@ def matrix(column: pd.Series) -> np.ndarray:
 
 def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Squared distances over the entries present in each row of ``x``."""
+    centre = pivots.mean(0)  # keeps the products below small
+    x, pivots = x - centre, pivots - centre
     seen = ~np.isnan(x)
     x0 = np.where(seen, x, 0.0)
     d2 = (x0**2).sum(1)[:, None] - 2 * x0 @ pivots.T + seen.astype(float) @ (pivots**2).T

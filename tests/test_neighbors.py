@@ -29,6 +29,13 @@ def test_knn_with_a_third_of_rows_equal(spark, block_rows):
     assert (found(knn(s, s, 3, block_rows), 90, 3) == nearest(x, 3)).all()
 
 
+def test_pruning_survives_a_large_offset(spark):
+    x, _ = blobs(100, 5, 3, seed=4)
+    s = to_samples(spark, x * [1.0, 100.0, 0.01] + 1e6)
+    want = nearest(x * [1.0, 100.0, 0.01] + 1e6, 3)
+    assert (found(knn(s, s, 3, 8), 100, 3) == want).all()
+
+
 def test_affinity_is_symmetric_and_counts_directions(spark):
     x, _ = blobs(60)
     w = np.zeros((60, 60))
