@@ -22,7 +22,7 @@ from coterie.operators import (  # noqa: E402
     cluster, consensus, features, figures, fuzzy, ids, impute, kmeans, labels, metrics, neighbors, qc, validate,
 )
 from coterie.plans import jobs  # noqa: E402
-from coterie.session import cut_lineage, scratch_path  # noqa: E402
+from coterie.session import cut_lineage, scratch_path, written  # noqa: E402
 from coterie.sources import catalog, mappings, matrix, series, sinks  # noqa: E402
 
 N_STARTS = 10
@@ -357,7 +357,7 @@ def q_classify(method):
 
 def reduced(spark, sf):
     """Preprocessed principal components of the whole matrix."""
-    chosen = cut_lineage(features.select_genes(long_x(spark, sf), None, 500).select("sample_id", "gene", "value"))
+    chosen = written(features.select_genes(long_x(spark, sf), None, 500).select("sample_id", "gene", "value"))
     return cut_lineage(features.reduce_dim(features.preprocess(chosen)))
 
 

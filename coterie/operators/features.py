@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from coterie.functions.tables import to_wide
-from coterie.session import cut_lineage
+from coterie.session import cut_lineage, written
 
 # A selection of this size is safe to broadcast as a list of keys.
 MAX_SELECTED = 100_000
@@ -86,8 +86,8 @@ def standardize(expr: DataFrame, keep_flat: bool = True) -> DataFrame:
     """Mean 0 and population std 1 per gene.  A constant gene is divided by 1, or
     left out without ``keep_flat``."""
     stats = expr.groupBy("gene").agg(F.avg("value").alias("_mean"), F.stddev_pop("value").alias("_sd"))
-    if not keep_flat:
-        stats = stats.filter(F.col("_sd") > 0)
+    # Written, so that it is broadcast when small and the cells stay in place.
+    stats = written(stats if keep_flat else stats.filter(F.col("_sd") > 0), "stats")
     scaled = (F.col("value") - F.col("_mean")) / F.when(F.col("_sd") == 0, 1.0).otherwise(F.col("_sd"))
     return expr.join(stats, "gene").withColumn("value", scaled).drop("_mean", "_sd")
 
@@ -95,7 +95,7 @@ def standardize(expr: DataFrame, keep_flat: bool = True) -> DataFrame:
 def variance_threshold(expr: DataFrame, threshold: float = 0.01) -> DataFrame:
     """Cells of the genes whose population variance exceeds the threshold."""
     good = expr.groupBy("gene").agg(F.var_pop("value").alias("v")).filter(F.col("v") > threshold)
-    return expr.join(good.select("gene"), "gene", "left_semi")
+    return expr.join(written(good.select("gene"), "genes"), "gene", "left_semi")
 
 
 def minmax_scale(df: DataFrame, cols: Sequence[str]) -> DataFrame:

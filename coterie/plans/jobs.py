@@ -17,7 +17,7 @@ from coterie.operators.kmeans import N_INIT, SEED
 from coterie.operators.metrics import evaluate, silhouette_samples
 from coterie.operators.qc import batch_zscore, merge_datasets, qc_filter, shape_report
 from coterie.operators.validate import ablation, classifier_test, find_best_k
-from coterie.session import cut_lineage
+from coterie.session import cut_lineage, written
 from coterie.sources.sinks import write_result
 
 
@@ -67,7 +67,7 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
     if not parts:
         raise ValueError(f"no data set could be loaded: {report}")
     expr, y, place = (reduce(DataFrame.unionByName, group) for group in (parts, labels, places))
-    clean = cut_lineage(batch_zscore(qc_filter(expr)))
+    clean = written(batch_zscore(qc_filter(expr)), "clean")
     alive = {r.dataset for r in clean.select("dataset").distinct().collect()}
     if not alive:
         raise ValueError("no cell of any data set passed conversion and quality control")
@@ -94,7 +94,7 @@ def analyse(expr: DataFrame, y: DataFrame, k_genes: int = 500, k_range: tuple[in
     tables by name.
     """
     # At most k_genes genes are left here; the whole input is read for this only.
-    chosen = cut_lineage(select_genes(expr.select("sample_id", "gene", "value"), y, k_genes))
+    chosen = written(select_genes(expr.select("sample_id", "gene", "value"), y, k_genes), "chosen")
     samples = cut_lineage(reduce_dim(preprocess(chosen)))
     k = find_best_k(samples, *k_range, seed=seed, n_init=n_init)
     labels = cut_lineage(fuzzy_ensemble(samples, k, seed, n_init))

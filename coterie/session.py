@@ -29,5 +29,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_set_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a parquet table in the shared checkpoint folder, read back.
+
+    For results that several later steps read: they are computed once, survive
+    lost executors, and the optimizer knows their true size, so a small one is
+    broadcast without a hint and a large one is not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
