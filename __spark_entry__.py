@@ -474,7 +474,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dedup_report": lambda s, d: ids.dedup_report(expr3(s, d)),
         "missing_rate_samples": lambda s, d: rounded(qc.missing_rate(ids.dedup_mean(expr3(s, d)), "sample_id"), "missing"),
         "missing_rate_genes": lambda s, d: rounded(qc.missing_rate(ids.dedup_mean(expr3(s, d)), "gene"), "missing"),
-        "batch_zscore": lambda s, d: rounded(qc.batch_zscore(ids.dedup_mean(expr3(s, d))), "value"),
+        "batch_zscore": lambda s, d: rounded(qc.batch_zscore(written(ids.dedup_mean(expr3(s, d)))), "value"),
         "merge_datasets": q_merge_datasets,
         "label_counts": lambda s, d: labels.label_counts(labels.offset_labels(sample_codes(s, d))),
         "shape_report": lambda s, d: qc.shape_report(expr3(s, d)),
