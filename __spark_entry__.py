@@ -25,6 +25,12 @@ from coterie.plans import jobs  # noqa: E402
 from coterie.session import cut_lineage, scratch_path, written  # noqa: E402
 from coterie.sources import catalog, mappings, matrix, series, sinks  # noqa: E402
 
+try:
+    import corpus_pipeline  # noqa: F401
+    from coterie.llm import queries as llm_queries
+except ImportError:
+    llm_queries = None
+
 N_STARTS = 10
 
 # --- inputs on Spark --------------------------------------------------------
@@ -422,7 +428,11 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """One entry per operator of the inventory."""
+    """One entry per operator of the inventory, and those of the subpackage if it is there."""
+    return core_queries() | (llm_queries.queries() if llm_queries else {})
+
+
+def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # sources and sinks
         "read_matrix": q_read_matrix,
@@ -556,4 +566,4 @@ def oracle_sql() -> dict[str, str]:
     """DuckDB twins; iterative and random methods have none."""
     import oracles
 
-    return oracles.statements()
+    return oracles.statements() | (llm_queries.oracle_sql() if llm_queries else {})
