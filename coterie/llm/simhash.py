@@ -48,10 +48,12 @@ def _majority(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray
     if not len(starts):
         return out
     # All words joined by single spaces; where each begins and ends there.
-    joined = b" ".join(data.tobytes().split())
     lengths = ends - starts
     to = np.cumsum(lengths + 1) - 1
     at = to - lengths
+    spaced = np.full(to[-1], 0x20, np.uint8)
+    spaced[np.repeat(np.arange(len(at)), lengths) + np.arange(lengths.sum())] = data[~words.WHITE[data]]
+    joined = spaced.tobytes()
     n = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
     doc = np.repeat(np.arange(len(n)), n)
     head = first[:-1][doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
