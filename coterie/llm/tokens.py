@@ -61,7 +61,7 @@ def scan_token_files(spark: SparkSession, folder: str, separator: int, head: int
     blocks = files.mapInArrow(_Scan(separator, head, width, block),
                               "file string, block long, bounds array<struct<at:long,head:array<int>>>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    rows = blocks.withColumns({"carried": F.last(F.element_at("bounds", -1), ignorenulls=True).over(before),
+    rows = blocks.withColumns({"carried": F.last(F.try_element_at("bounds", F.lit(-1)), ignorenulls=True).over(before),
                                "done": F.coalesce(F.sum(F.size("bounds")).over(before), F.lit(0))})
     rows = rows.select("file", "done", "carried", "bounds", F.posexplode("bounds").alias("k", "bound"))
     last = F.when(F.col("k") == 0, F.col("carried")).otherwise(F.get("bounds", F.col("k") - 1))
