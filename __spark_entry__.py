@@ -187,11 +187,32 @@ def q_detect_columns(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type", "value", "props")
     id_col, value_col = series.detect_columns(e)
     others = [c for c in e.columns if c != id_col]
-    shares = matrix.numeric_shares(e, others)
+    shares = matrix.numeric_shares(e, others).drop("n_texts")
     return rounded(shares.withColumn("id_col", F.lit(id_col)).withColumn(
         "is_value", F.col("column") == value_col), "share")
 
 
+def q_detect_columns_gaps(spark, sf):
+    """A value column with missing values beside a wholly numeric one."""
+    e = table(spark, sf, "events").select(
+        F.col("event_type").alias("ID_REF"), (F.col("value") / 2).alias("DETECTION_P"),
+        F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("VALUE"))
+    id_col, value_col = series.detect_columns(e)
+    return rounded(series.pivot_samples(e.withColumn("sample_id", F.lit("all")), id_col, value_col).withColumn(
+        "value_col", F.lit(value_col)), "value")
+
+
+def mixed_probes(spark, sf):
+    """Probes of three data sets in file order; only in A are all of them Ensembl IDs,
+    and the first of a data set is not the alphabetically first."""
+    ensembl = (F.col("l_returnflag") == "A") | (F.col("l_partkey") % 3 == 0)
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    gene = F.when(ensembl, ensembl_id("l_partkey")).otherwise(F.concat(F.lit("AFFX-"), "l_partkey"))
+    return table(spark, sf, "lineitem").select(
+        F.col("l_returnflag").alias("dataset"), F.col("l_suppkey").alias("sample_id"), gene.alias("gene"),
+        F.col("l_extendedprice").alias("value"), key.alias("ord"))
+
+
 def wide_x(spark, sf):
     x = samples_x(spark, sf)
     n = x.select(F.size("features").alias("d")).first().d
@@ -456,7 +477,11 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "select_numeric": lambda s, d: features.select_numeric(table(s, d, "customer")),
         "filter_prefix_id": lambda s, d: ids.starts_with_prefix(probe_cells(s, d, F.when(
             F.col("l_returnflag") == "A", ensembl_id("l_partkey")).otherwise(F.col("l_partkey").cast("string"))),
-            "ENSG", by="dataset"),
+            "ENSG", "gene", by="dataset"),
+        "filter_prefix_id_by_row": lambda s, d: ids.starts_with_prefix(mixed_probes(s, d), "ENSG", "ord", by="dataset"),
+        "convert_prefixed_ids_by_row": lambda s, d: rounded(ids.convert_prefixed_ids(
+            mixed_probes(s, d), part_mapping(s, d, ensembl_id("p_partkey")), "ord"), "value"),
+        "detect_columns_gaps": q_detect_columns_gaps,
         "sample_label_text": lambda s, d: labels.sample_label_text(metadata(s, d)),
         "orient": lambda s, d: matrix.orient(long_x(s, d).select(
             F.col("sample_id").alias("vec"), F.col("gene").alias("dim"), "value"), "vec", "dim"),
@@ -467,7 +492,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             probe_cells(s, d, ensembl_id("l_partkey")), part_mapping(s, d, ensembl_id("p_partkey"))), "value"),
         "convert_prefixed_ids": lambda s, d: rounded(ids.convert_prefixed_ids(probe_cells(s, d, F.when(
             F.col("l_returnflag") == "A", ensembl_id("l_partkey")).otherwise(F.col("l_partkey").cast("string"))),
-            part_mapping(s, d, ensembl_id("p_partkey"))), "value"),
+            part_mapping(s, d, ensembl_id("p_partkey")), "gene"), "value"),
         "unmapped_ids": lambda s, d: ids.unmapped_ids(
             probe_cells(s, d, ensembl_id("l_partkey")), part_mapping(s, d, ensembl_id("p_partkey"))),
         "map_probes": lambda s, d: rounded(ids.map_probes(

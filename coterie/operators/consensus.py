@@ -20,15 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.operators.cluster import spectral, ward
-from coterie.operators.fuzzy import fuzzy_cmeans, fuzzy_cmeans_rows, memberships, with_start
+from coterie.operators.fuzzy import fuzzy_cmeans, memberships
 from coterie.operators.kmeans import N_INIT, SEED, kmeans
 from coterie.operators.labels import canonical, defuzzify
 from coterie.plans.blocks import block_pairs
 from coterie.session import cut_lineage
 
-# Signature tables up to this many rows count as bounded summaries.
-MAX_LOCAL_SIGNATURES = 4096
-
 
 def wide_labels(labels: DataFrame) -> DataFrame:
     """(run, sample_id, cluster) to (sample_id, sig) with one label per run, in
@@ -170,16 +167,10 @@ def _spread(labels: DataFrame, by_signature: DataFrame) -> DataFrame:
     return canonical(wide.join(named, "sig").select("sample_id", "cluster"))
 
 
-def fuzzy_consensus(labels: DataFrame, k: int, weights: Sequence[float], seed: int = SEED,
-                    local_rows: int = MAX_LOCAL_SIGNATURES) -> DataFrame:
+def fuzzy_consensus(labels: DataFrame, k: int, weights: Sequence[float], seed: int = SEED) -> DataFrame:
     """Fuzzy c-means on the scaled co-association rows, defuzzified."""
     points = cut_lineage(consensus_features(labels, weights).withColumnRenamed("sig", "sample_id"))
-    if points.count() <= local_rows:
-        rows = with_start(points, k, seed).orderBy("sample_id").toPandas()
-        fit = fuzzy_cmeans_rows(np.array(rows["features"].tolist()), rows["w"].to_numpy(),
-                                np.array(rows["u0"].tolist()))
-    else:
-        fit = fuzzy_cmeans(points, k, seed=seed)
+    fit = fuzzy_cmeans(points, k, seed=seed)
     return _spread(labels, defuzzify(memberships(points, fit.centres)))
 
 

@@ -125,12 +125,6 @@ def fuzzy_cmeans(samples: DataFrame, k: int, m: float = FUZZINESS, error: float
         points.unpersist()
 
 
-def fuzzy_cmeans_rows(x: np.ndarray, w: np.ndarray, u0: np.ndarray, m: float = FUZZINESS,
-                      error: float = ERROR, max_passes: int = MAX_PASSES) -> FuzzyResult:
-    """The same iteration on a bounded summary table held by the driver."""
-    return iterate(lambda c, p: _summarise(x, w, u0, c, p, m), u0.shape[1], x.shape[1], error, max_passes, m)
-
-
 def fcm_pass(samples: DataFrame, centres: np.ndarray, m: float = FUZZINESS) -> np.ndarray:
     """Centres after one pass from the given ones."""
     points = with_start(samples, len(centres), 0)

@@ -41,33 +41,33 @@ def last_per_key(df: DataFrame, key: str, value: str, ord_col: str) -> DataFrame
     return df.groupBy(key).agg(F.max_by(value, ord_col).alias(value))
 
 
-def starts_with_prefix(expr: DataFrame, prefix: str, ord_col: str = "gene",
-                       by: str | None = None) -> DataFrame:
-    """Whether the first gene (by ``ord_col``) has the prefix; one row, or one
-    per ``by``."""
+def starts_with_prefix(expr: DataFrame, prefix: str, ord_col: str, by: str | None = None) -> DataFrame:
+    """Whether the first gene (by ``ord_col``, the place in the file) has the prefix;
+    one row, or one per ``by``."""
     first = F.min_by(F.col("gene").cast("string"), ord_col)
     out = first.startswith(prefix).alias("has_prefix")
     return expr.groupBy(by).agg(out) if by else expr.agg(out)
 
 
 def convert_ids(expr: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Replace each gene by its symbol; genes without one are dropped.  IDs must
-    match exactly, and an empty mapping leaves nothing."""
-    named = mapping.select(F.col("id").alias("gene"), "symbol")
+    """Replace each gene by its symbol; genes without one, or with an empty one, are
+    dropped.  IDs must match exactly, and an empty mapping leaves nothing."""
+    named = mapping.where("symbol <> ''").select(F.col("id").alias("gene"), "symbol")
     # No broadcast hint: the optimizer broadcasts the mapping when it measures small.
     mapped = expr.withColumn("gene", F.col("gene").cast("string")).join(named, "gene", "inner")
     return dedup_mean(mapped.drop("gene").withColumnRenamed("symbol", "gene"))
 
 
-def convert_prefixed_ids(expr: DataFrame, mapping: DataFrame, prefix: str = "ENSG",
-                         ord_col: str = "gene") -> DataFrame:
-    """``convert_ids`` for the data sets whose first gene carries the prefix; the
-    others pass through unchanged."""
-    has = starts_with_prefix(expr, prefix, ord_col, "dataset")
-    flagged = expr.join(has, "dataset")
-    yes = flagged.filter("has_prefix").drop("has_prefix")
-    no = flagged.filter(~F.coalesce("has_prefix", F.lit(False))).drop("has_prefix")
-    return convert_ids(yes, mapping).unionByName(dedup_mean(no))
+def convert_prefixed_ids(expr: DataFrame, mapping: DataFrame, ord_col: str, prefix: str = "ENSG") -> DataFrame:
+    """``convert_ids`` for the data sets whose first gene (by ``ord_col``) carries the
+    prefix; the others pass through unchanged.  An empty symbol is none."""
+    # One row per data set: as many as the caller named.
+    has = F.broadcast(starts_with_prefix(expr, prefix, ord_col, "dataset").where("has_prefix"))
+    named = mapping.where("symbol <> ''").select(F.col("id").alias("gene"), "symbol")
+    cells = expr.withColumn("gene", F.col("gene").cast("string")).drop(*{ord_col} - {"gene"})
+    mapped = cells.join(has, "dataset", "left").join(named, "gene", "left").where("has_prefix IS NULL OR symbol IS NOT NULL")
+    gene = F.when(F.col("has_prefix"), F.col("symbol")).otherwise(F.col("gene"))
+    return dedup_mean(mapped.withColumn("gene", gene).drop("symbol", "has_prefix"))
 
 
 def unmapped_ids(expr: DataFrame, mapping: DataFrame) -> DataFrame:

@@ -110,7 +110,7 @@ def kmeans_centres(samples: DataFrame, ks: list[int], seed: int = SEED, n_init:
     starts = _spread_starts(points, max(ks), seeds)
     jobs = [(k, i) for k in ks for i in range(n_init)]
     active = {f: starts[i][:k] for f, (k, i) in enumerate(jobs)}
-    centres, cost = dict(active), {}
+    centres = dict(active)
     for _ in range(max_iter):
         if not active:
             break
@@ -122,10 +122,12 @@ def kmeans_centres(samples: DataFrame, ks: list[int], seed: int = SEED, n_init:
             new = np.where(mass > 0, table[:, :d] / np.maximum(mass, 1e-300), old)
             mean = table[:, :d].sum(0) / mass.sum()
             variance = max(table[:, d + 2].sum() / mass.sum() - (mean**2).sum(), 0.0) / d
-            centres[f], cost[f] = new, table[:, d + 1].sum()
+            centres[f] = new
             if ((new - old) ** 2).sum() > tol * variance:
                 moved[f] = new
         active = moved
+    # The starts are judged by the centres that they ended with.
+    cost = {f: table[:, table.shape[1] - 2].sum() for f, table in _lloyd_pass(points, centres, n_tasks).items()}
     points.unpersist()
     best = {}
     for f, (k, i) in enumerate(jobs):

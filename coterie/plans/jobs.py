@@ -24,7 +24,8 @@ from coterie.sources.sinks import write_result
 @dataclass
 class Dataset:
     """How to get one data set.  ``load`` returns long cells (sample_id, gene,
-    value); ``labels`` (sample_id, y, ord); the mappings are optional.
+    value), with ``gene_info`` also ``ord``, the place of the gene in its file;
+    ``labels`` (sample_id, y, ord); the mappings are optional.
     ``sample_order(sample_id, ord)`` gives the order of the samples, needed only
     where label IDs match none of them and labels are taken by position."""
 
@@ -40,10 +41,14 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
     """(expr, labels, load_report) of all data sets that load: converted to
     symbols, filtered, z-scored, merged on common genes when there are several.
 
-    A data set that fails is left out and its error recorded.  Loading is checked
-    by reading one row of each; cleaning then runs for all of them in one plan
-    keyed by ``dataset``.
+    A data set that fails is left out and its error recorded: each one's converted
+    cells and labels are written by themselves, so an error in any row of it, in a
+    mapping or in a label is its own.  Cleaning then runs for all of them in one plan
+    keyed by ``dataset``.  Two data sets of one name are an error.
     """
+    names = [spec.name for spec in specs]
+    if len(set(names)) < len(names):
+        raise ValueError(f"data sets of one name: {sorted({n for n in names if names.count(n) > 1})}")
     parts, labels, places, report = [], [], [], []
     for i, spec in enumerate(specs):
         try:
@@ -51,19 +56,21 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
             if expr is None or expr.isEmpty():
                 raise ValueError("no usable matrix")
             # ``dataset`` sorts in the order the data sets were given.
-            named = expr.select(F.lit(spec.name).alias("dataset"), "sample_id", "gene", "value")
+            named = expr.select(F.lit(spec.name).alias("dataset"), "sample_id", "gene", "value",
+                                *["ord"] * (spec.gene_info is not None))
             if spec.gene_info is not None:
-                named = convert_prefixed_ids(named, spec.gene_info)
+                named = convert_prefixed_ids(named, spec.gene_info, "ord")
             named = map_probes(named, spec.probe_map) if spec.probe_map is not None else named
             y = spec.labels(spark).select(F.lit(spec.name).alias("dataset"), F.lit(i).alias("dataset_ord"),
                                           "sample_id", "y", "ord")
-            parts.append(named)
-            labels.append(y)
             order = y if spec.sample_order is None else spec.sample_order
-            places.append(order.select(F.lit(spec.name).alias("dataset"), "sample_id", F.col("ord").cast("long").alias("ord")))
+            order = order.select(F.lit(spec.name).alias("dataset"), "sample_id", F.col("ord").cast("long").alias("ord"))
+            part = [written(df, "data-set") for df in (named, y, order)]
+            for group, df in zip((parts, labels, places), part):
+                group.append(df)
             report.append((i, spec.name, True, None))
         except Exception as error:  # one bad data set must not stop the others
-            report.append((i, spec.name, False, f"{type(error).__name__}: {error}"[:500]))
+            report.append((i, spec.name, False, f"{type(error).__name__}: {error}"))
     if not parts:
         raise ValueError(f"no data set could be loaded: {report}")
     expr, y, place = (reduce(DataFrame.unionByName, group) for group in (parts, labels, places))
@@ -79,7 +86,7 @@ def load_datasets(spark: SparkSession, specs: Sequence[Dataset]) -> tuple[DataFr
     order = y.select("dataset", "dataset_ord").distinct()
     kept = align_labels(y, surviving).join(order, "dataset")
     if len(alive) > 1:
-        clean, kept = merge_datasets(clean, kept, "dataset_ord")
+        clean, kept = merge_datasets(clean, kept, "dataset_ord", unique=True)
     key = F.concat_ws("/", "dataset", "sample_id").alias("sample_id")
     summary = spark.createDataFrame(report, "ord int, dataset string, loaded boolean, error string")
     return (clean.select("dataset", key, "gene", "value"),

@@ -12,7 +12,9 @@ def _set_checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        # Only a session without a shared folder (a test) gets a local one.
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # Only a session in one process (a test) gets a folder of its own.
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="coterie-"))
     return sc.getCheckpointDir()
 

@@ -19,12 +19,12 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _cells(df: DataFrame, id_col: str, names: Sequence[str]) -> DataFrame:
+def _cells(df: DataFrame, id_col: str, names: Sequence[str], *keep: str) -> DataFrame:
     """(gene, pos, value) of a wide text table; the plan does not grow with the
     number of columns."""
     texts = F.array(*[F.col(_quoted(c)).cast("string") for c in names])
-    return df.select(F.col(_quoted(id_col)).alias("gene"), F.posexplode(texts).alias("pos", "text")).select(
-        "gene", "pos", number_or_null(F.col("text")).alias("value"))
+    return df.select(F.col(_quoted(id_col)).alias("gene"), *keep, F.posexplode(texts).alias("pos", "text")).select(
+        "gene", *keep, "pos", number_or_null(F.col("text")).alias("value"))
 
 
 def coerce_numeric(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,30 +40,41 @@ def keep_mostly_numeric(df: DataFrame, cols: Sequence[str], min_frac: float = 0.
 
 
 def numeric_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Share of parseable numbers of each column, as (column, share)."""
+    """Share of parseable numbers of each column, and how many of its texts are there
+    but are no numbers, as (column, share, n_texts)."""
     kv = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), number_or_null(F.col(_quoted(c))).alias("value")) for c in cols]))
+        F.struct(F.lit(c).alias("column"), number_or_null(F.col(_quoted(c))).alias("value"),
+                 F.col(_quoted(c)).cast("string").alias("text")) for c in cols]))
     cells = df.select(kv.alias("kv")).select("kv.*")
-    return cells.groupBy("column").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("share"))
+    missing = F.trim(F.coalesce("text", F.lit(""))).isin("", "NaN")
+    return cells.groupBy("column").agg(F.avg(F.col("value").isNotNull().cast("int")).alias("share"),
+                                       F.count_if(F.col("value").isNull() & ~missing).alias("n_texts"))
 
 
 def read_matrix(spark: SparkSession, path: str, id_col: str | None = None,
-                min_rows: int = 10, min_cols: int = 1) -> DataFrame | None:
+                min_rows: int = 10, min_cols: int = 1, with_order: bool = False,
+                max_columns: int = 200_000) -> DataFrame | None:
     """A gene x sample text matrix (plain or gzip) as (sample_id, gene, value).
 
     The layouts are tried in turn and the first that gives more than ``min_rows``
     rows and at least ``min_cols`` mostly numeric columns wins; the first column
     holds the gene unless ``id_col`` names another.  Duplicate genes are averaged.
     ``None`` when no layout fits.  A comment is a line starting with ``!``.
+    ``with_order`` adds ``ord``, by which the genes sort as their rows in the file.
+    A file of more than ``max_columns`` columns is an error.
     """
     for comment, sep in LAYOUTS:
-        reader = spark.read.option("header", True).option("sep", sep).option("maxColumns", 200_000)
+        reader = spark.read.option("header", True).option("sep", sep).option("maxColumns", max_columns)
         df = (reader.option("comment", comment) if comment else reader).csv(path)
         key = id_col or (df.columns[0] if df.columns else None)
         names = [c for c in df.columns if c != key]
         if key not in df.columns or not names:
             continue
-        cells = _cells(df, key, names)
+        if with_order:
+            place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+            cells = _cells(df.select("*", place.alias("__ord")), key, names, "__ord")
+        else:
+            cells = _cells(df, key, names)
         shares = cells.groupBy("pos").agg(
             F.count(F.lit(1)).alias("n"), F.count("value").alias("present")).collect()
         kept = [r.pos for r in shares if r.present / r.n > 0.5]
@@ -71,6 +82,9 @@ def read_matrix(spark: SparkSession, path: str, id_col: str | None = None,
         if len(kept) >= min_cols and n_rows > min_rows:
             sample = F.element_at(F.lit(names), F.col("pos") + 1)
             good = cells if len(kept) == len(names) else cells.filter(F.col("pos").isin(kept))
+            if with_order:
+                return good.groupBy(sample.alias("sample_id"), "gene").agg(
+                    F.avg("value").alias("value"), F.min("__ord").alias("ord"))
             return dedup_mean(good.select(sample.alias("sample_id"), "gene", "value"))
     return None
 

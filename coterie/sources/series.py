@@ -25,18 +25,20 @@ def detect_columns(tables: DataFrame | Sequence[DataFrame]) -> tuple[str, str] |
 
     The identifier is the first column named like one, else the first column.
     The value is the first value-named column that is wholly numeric, else the
-    first column with more than 80 % numbers.
+    first column with more than 80 % numbers.  Wholly numeric means that every
+    text that is there is a number: NULL and blank texts are missing and don't
+    count, but a text such as ``n/a`` is no number (readers make it NULL).
     """
     for df in [tables] if isinstance(tables, DataFrame) else tables:
         if not df.columns:
             continue
         id_col = next((c for c in df.columns if _named(c, ID_WORDS)), df.columns[0])
         others = [c for c in df.columns if c != id_col]
-        share = {r.column: r.share for r in numeric_shares(df, others).collect()} if others else {}
+        share = {r.column: r for r in numeric_shares(df, others).collect()} if others else {}
         if not share:
             continue
-        value_col = (next((c for c in others if _named(c, VALUE_WORDS) and share[c] == 1.0), None)
-                     or next((c for c in others if share[c] > 0.8), None))
+        value_col = (next((c for c in others if _named(c, VALUE_WORDS) and share[c].n_texts == 0), None)
+                     or next((c for c in others if share[c].share > 0.8), None))
         if value_col:
             return id_col, value_col
     return None

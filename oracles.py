@@ -84,6 +84,9 @@ SPLIT = """sp AS (SELECT vec_id AS sample_id, row_number() OVER (ORDER BY md5(ve
 PROBES = """SELECT l_returnflag AS dataset, l_suppkey AS sample_id, l_partkey,
   'ENSG' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') AS ens, CAST(l_partkey AS VARCHAR) AS probe,
   l_extendedprice AS value FROM lineitem"""
+MIXED = """m AS (SELECT l_returnflag AS dataset, l_suppkey AS sample_id, l_extendedprice AS value,
+  l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_returnflag = 'A' OR l_partkey % 3 = 0
+    THEN 'ENSG' || lpad(CAST(l_partkey AS VARCHAR), 11, '0') ELSE 'AFFX-' || l_partkey END AS gene FROM lineitem)"""
 ORDER_LABELS = """c AS (SELECT o_orderstatus AS dataset, o_orderpriority AS label,
   CAST(row_number() OVER (PARTITION BY o_orderstatus ORDER BY min(o_orderkey)) - 1 AS INTEGER) AS y
   FROM orders GROUP BY 1, 2)"""
@@ -190,6 +193,14 @@ def statements() -> dict[str, str]:
         "convert_prefixed_ids": f"""WITH p AS ({PROBES}) SELECT dataset, sample_id, CASE WHEN dataset = 'A' THEN p_brand ELSE probe END AS gene,
             {r('avg(value)')} AS value FROM p LEFT JOIN part ON l_partkey = p_partkey AND p_type <> 'ECONOMY'
             WHERE dataset <> 'A' OR p_brand IS NOT NULL GROUP BY 1, 2, 3""",
+        "filter_prefix_id_by_row": f"""WITH {MIXED} SELECT dataset, starts_with(arg_min(gene, ord), 'ENSG') AS has_prefix FROM m GROUP BY 1""",
+        "convert_prefixed_ids_by_row": f"""WITH {MIXED}, has AS (SELECT dataset, starts_with(arg_min(gene, ord), 'ENSG') AS has_prefix FROM m GROUP BY 1)
+            SELECT m.dataset, sample_id, CASE WHEN has_prefix THEN p_brand ELSE gene END AS gene, {r('avg(value)')} AS value
+            FROM m JOIN has USING (dataset)
+            LEFT JOIN part ON gene = 'ENSG' || lpad(CAST(p_partkey AS VARCHAR), 11, '0') AND p_type <> 'ECONOMY'
+            WHERE NOT has_prefix OR p_brand IS NOT NULL GROUP BY 1, 2, 3""",
+        "detect_columns_gaps": f"""SELECT 'all' AS sample_id, event_type AS gene, {r('avg(CASE WHEN event_id % 7 <> 0 THEN value END)')} AS value,
+            'VALUE' AS value_col FROM events GROUP BY 2""",
         "unmapped_ids": f"""WITH p AS ({PROBES}) SELECT DISTINCT ens AS gene FROM p
             LEFT JOIN part ON l_partkey = p_partkey AND p_type <> 'ECONOMY' WHERE p_brand IS NULL""",
         "map_probes": f"""WITH p AS ({PROBES}) SELECT dataset, sample_id, coalesce(p_brand, probe) AS gene, {r('avg(value)')} AS value

@@ -128,11 +128,11 @@ def test_consensus_coordinates_keep_distances_of_the_scaled_matrix(spark, weight
     assert np.allclose(h.distances(z), h.distances(full), atol=1e-8)
 
 
-def test_fuzzy_consensus_same_on_driver_and_on_spark(spark):
+def test_fuzzy_consensus_does_not_depend_on_partitions(spark):
     x, truth = h.blobs(60)
     runs, df = runs_of(spark, 60, 3, 3)
     df = spark.createDataFrame([(r, s, int(truth[s] if r < 2 else runs[2][s])) for r in range(3) for s in range(60)],
                                "run int, sample_id long, cluster int")
     a = h.vector(fuzzy_consensus(df, 3, [2.0, 1.0, 1.0]))
-    b = h.vector(fuzzy_consensus(df, 3, [2.0, 1.0, 1.0], local_rows=0))
+    b = h.vector(fuzzy_consensus(df.repartition(5), 3, [2.0, 1.0, 1.0]))
     assert (a == b).all() and (a == h.canonical(truth)).all()

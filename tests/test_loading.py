@@ -181,3 +181,36 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() == 1
+
+
+def test_missing_values_do_not_hide_the_value_column(spark):
+    df = spark.createDataFrame([("a", 0.1, 1.0), ("b", 0.2, None)], "ID_REF string, DETECTION_P double, VALUE double")
+    assert series.detect_columns(df) == ("ID_REF", "VALUE")
+    text = spark.createDataFrame([("a", "0.1", "1"), ("b", "0.2", " ")], "ID_REF string, DETECTION_P string, VALUE string")
+    assert series.detect_columns(text) == ("ID_REF", "VALUE")
+
+
+def test_an_error_in_a_late_row_stays_in_its_data_set(spark):
+    one, _, two = specs(spark)
+    cells = two.load
+
+    def late(s):
+        bad = F.when((F.col("sample_id") == "s39"), F.raise_error(F.lit("bad row"))).otherwise(F.col("value"))
+        return cells(s).withColumn("value", bad.cast("double"))
+
+    two.load = late
+    expr, _, report = load_datasets(spark, [one, two])
+    assert {r.dataset: r.loaded for r in report.collect()} == {"one": True, "two": False}
+    assert "bad row" in report.filter("NOT loaded").first().error
+    assert {r.dataset for r in expr.select("dataset").distinct().collect()} == {"one"}
+    with pytest.raises(ValueError, match="one name"):
+        load_datasets(spark, [one, one])
+
+
+def test_ids_are_judged_by_the_first_row_of_the_file(spark, tmp_path):
+    (tmp_path / "m.tsv").write_text("ID\ts1\ts2\n" + "".join(f"{g}\t{i}\t{i}\n" for i, g in enumerate(
+        ["ENSG1", "AFFX-1", "AFFX-1"] + [f"ENSG{k}" for k in range(2, 14)])))
+    cells = matrix.read_matrix(spark, str(tmp_path / "m.tsv"), with_order=True).withColumn("dataset", F.lit("d"))
+    info = spark.createDataFrame([("ENSG1", "ONE"), ("ENSG2", ""), ("ENSG3", "THREE")], "id string, symbol string")
+    assert {r.gene for r in ids.convert_prefixed_ids(cells, info, "ord").collect()} == {"ONE", "THREE"}
+    assert {r.gene for r in ids.convert_prefixed_ids(cells, info, "gene").collect()} > {"AFFX-1", "ENSG1", "ENSG2"}
