@@ -151,8 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     y = rows["label"].to_numpy(int)
     if len(np.unique(y)) < 2:
         return LineField(np.zeros(14), np.ones(14), np.zeros((43, 2)), np.zeros((2, 2)), 0.0, 0.0)
-    data, offsets = flat_text(pa.array(rows["text"], pa.string()))
-    raw, weight, first = line_features(data, offsets)
+    raw, weight, first = _lines_of(pa.array(rows["text"], pa.string()))
+    del rows
     mean, scale = raw.mean(0), raw.std(0) + 1e-6
     x = _with_neighbours((raw - mean) / scale, first)
     lines = np.diff(first)
@@ -182,6 +182,15 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return LineField(mean, scale, states, moves, slope, offset)
 
 
+def _lines_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of many texts, a few at a time."""
+    data, offsets = flat_text(texts)
+    parts = [line_features(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1] - offsets[lo]) for lo, hi in steps(offsets)]
+    counts = np.concatenate([np.diff(first) for _, _, first in parts])
+    return (np.concatenate([raw for raw, _, _ in parts]), np.concatenate([weight for _, weight, _ in parts]),
+            np.append(0, np.cumsum(counts)))
+
+
 def _logistic(a: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Newton steps for P(y = 1) = 1 / (1 + exp(-(slope a + offset)))."""
     x = np.column_stack([a, np.ones(len(a))])
