@@ -12,7 +12,21 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on; a longer single text is its own step.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Rows of a batch that goes to a Python worker.
+BATCH_ROWS, ROWS_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of rows that are handed on together, so that a worker holds little at a time.
+SLICE_BYTES = 1 << 22
+
+
+def map_batches(df: DataFrame, function: Callable, schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow`` with batches of few rows.  A row may hold a long text, and the
+    default of 10,000 rows would be copied on both sides of the pipe as one piece; so
+    the session's number is lowered, unless it is lower already."""
+    conf = df.sparkSession.conf
+    if int(conf.get(ROWS_SETTING)) > BATCH_ROWS:
+        conf.set(ROWS_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(function, schema)
 
 
 def appended(df: DataFrame, added: str, function: Callable[[pa.RecordBatch], dict],
@@ -23,7 +37,7 @@ def appended(df: DataFrame, added: str, function: Callable[[pa.RecordBatch], dic
     new = StructType.fromDDL(added)
     df = df.drop(*(name for name in new.names if name not in without))
     kept = [field for field in df.schema.fields if field.name not in without]
-    return df.mapInArrow(_Appender(function, new, [field.name for field in kept]), StructType(kept + new.fields))
+    return map_batches(df, _Appender(function, new, [field.name for field in kept]), StructType(kept + new.fields))
 
 
 class _Appender:
@@ -32,7 +46,7 @@ class _Appender:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fields = to_arrow_schema(self.new)
-        for batch in batches:
+        for batch in slices(batches):
             made = self.function(batch)
             arrays = [batch.column(batch.schema.get_field_index(name)) for name in self.kept]
             for field in fields:
@@ -41,6 +55,14 @@ class _Appender:
             yield pa.RecordBatch.from_arrays(arrays, names=[*self.kept, *fields.names])
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches."""
+    for batch in batches:
+        size = max(1, int(len(batch) * min(1.0, SLICE_BYTES / max(1, batch.nbytes))))
+        for lo in range(0, len(batch), size):
+            yield batch.slice(lo, size)
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row and the offset of each text; a null
     text is empty."""

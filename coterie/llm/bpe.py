@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coterie.llm.arrow import appended, lists_of
+from coterie.llm.arrow import appended, lists_of, map_batches
 
 #: Characters of a chunk, and of the overlap in which two chunks must agree on a
 #: pre-token boundary.
@@ -21,7 +21,7 @@ CHUNK, OVERLAP = 1 << 15, 1 << 9
 #: runs of white space aside, which are never cut short.
 LOOKAHEAD = 16
 #: Encoded pieces that a worker remembers.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 15
 
 
 @lru_cache(4)
@@ -80,7 +80,7 @@ def _encode_long(docs: DataFrame, path: str, pattern: str, text: str, chunk: int
     A text is named by two hashes of it, so that equal texts are encoded once and
     every row finds its ids again."""
     named = docs.withColumns({"text_a": F.xxhash64(text), "text_b": F.sha2(text, 256)})
-    chunks = named.select("text_a", "text_b", F.col(text).alias("whole")).mapInArrow(
+    chunks = named.select("text_a", "text_b", F.col(text).alias("whole")).transform(map_batches,
         _Chunker(chunk, overlap), "text_a long, text_b string, begin long, piece string, more boolean")
     chunks = chunks.dropDuplicates(["text_a", "text_b", "begin"])  # deals the chunks out, too
     cut = appended(chunks, "bounds array<int>", _Boundaries(pattern))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm import words
-from coterie.llm.arrow import appended, flat_text, lists_of, steps
+from coterie.llm.arrow import appended, flat_text, lists_of, map_batches, steps
 from coterie.session import written
 
 #: Words of the shortest shared span, and of the grams that are winnowed.
@@ -73,7 +73,7 @@ def item_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 
     items = items.select("item_id", "text")
     kind = items.schema["item_id"].dataType.simpleString()
-    return items.mapInArrow(of, f"fingerprint long, window int, hash long, item_id {kind}").distinct()
+    return items.transform(map_batches, of, f"fingerprint long, window int, hash long, item_id {kind}").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: float = 0.05,
@@ -100,7 +100,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     bitmap[[r.bit for r in bits.collect()]] = True
     sizes = sorted(r.window for r in known.select("window").distinct().collect())  # at most ``window`` numbers
 
-    marks = docs.select("doc_id", "text").mapInArrow(
+    marks = docs.select("doc_id", "text").transform(map_batches,
         _Marks(np.packbits(bitmap), sizes, window),
         "doc_id long, text_hash long, n_words long, fingerprint long, window int, place int, hashes array<long>")
     prints = prints.withColumn("known", F.lit(True))

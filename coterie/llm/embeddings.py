@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm import tiles
+from coterie.llm.arrow import map_batches
 from coterie.llm.components import components, local_roots
 from coterie.llm.words import mix
 from coterie.session import written
@@ -122,12 +123,12 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = TABLES,
         F.min("vec_id").alias("node"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
     nodes = written(nodes, "vectors")
 
-    place = nodes.select("node", "label", "copies", "embedding").mapInArrow(
+    place = nodes.select("node", "label", "copies", "embedding").transform(map_batches,
         _Places(tables, probes, cell), "cell long, tab int, home boolean, node long, label "
         f"{vectors.schema['label'].dataType.simpleString()}, copies long, embedding {vectors.schema['embedding'].dataType.simpleString()}")
     place = place.withColumn("bucket", F.xxhash64("label", "cell", F.size("embedding"))).drop("cell", "label")
     dealt = tiles.deal(place, ["bucket"], "node")
-    found = written(dealt.mapInArrow(_Meetings(cosine, tables, probes, cell), "u long, v long, n long"), "vector-links")
+    found = written(dealt.transform(map_batches, _Meetings(cosine, tables, probes, cell), "u long, v long, n long"), "vector-links")
 
     counts = found.where("n > 0").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("n = 0").select("u", "v"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm import tiles, words
-from coterie.llm.arrow import appended, flat_text, steps
+from coterie.llm.arrow import appended, flat_text, map_batches, steps
 from coterie.llm.components import components, local_roots
 from coterie.session import written
 
@@ -90,7 +90,7 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
         for table in tiles.whole_groups(batches, ["block", "value", "a", "b"]):
             yield _compare(table, radius)
 
-    return dealt.mapInArrow(compare, "u long, v long").distinct()
+    return dealt.transform(map_batches, compare, "u long, v long").distinct()
 
 
 def _compare(table: pa.Table, radius: int) -> pa.RecordBatch:

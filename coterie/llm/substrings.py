@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm import words
-from coterie.llm.arrow import appended, flat_text, lists_of, steps
+from coterie.llm.arrow import appended, flat_text, lists_of, map_batches, steps
 from coterie.session import written
 
 #: Words of the shortest duplicate span, and of the anchors that index it.
@@ -83,7 +83,7 @@ def reference_blocks(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                      pa.array(ids[lo + parse.block_text[own]], pa.int64()), pa.array(parse.place[own], pa.int32())],
                     names=["anchor", "content", "doc_id", "place"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "anchor long, content long, doc_id long, place int")
+    return docs.select("doc_id", "text").transform(map_batches, of, "anchor long, content long, doc_id long, place int")
 
 
 def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, without: tuple[str, ...] = ()) -> DataFrame:
@@ -120,7 +120,7 @@ def remove_duplicate_spans(docs: DataFrame, window: int = WINDOW, without: tuple
         (place > F.col("origin")).alias("copied"), F.coalesce("boundary", F.lit(False)).alias("boundary")), "parsed")
 
     boundary = parsed.where("boundary AND NOT copied").groupBy("doc_id").agg(F.collect_list("mark").alias("marks"))
-    windows = named.join(boundary, "doc_id").mapInArrow(
+    windows = named.join(boundary, "doc_id").transform(map_batches,
         _BoundaryWindows(window), "hash long, half long, doc_id long, start int")
     earliest = windows.groupBy("hash", "half").agg(F.min(F.struct("doc_id", "start")).alias("origin"),
                                                    F.count("*").alias("n")).where("n > 1").drop("n")

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coterie.llm.arrow import appended
+from coterie.llm.arrow import appended, map_batches
 
 #: Ids of a block that one numpy step searches, and leading ids that hold a doc_id.
 BLOCK, HEAD = 1 << 20, 5
@@ -58,7 +58,7 @@ def scan_token_files(spark: SparkSession, folder: str, separator: int, head: int
     documents came before.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(folder).select("path", "content")
-    blocks = files.mapInArrow(_Scan(separator, head, width, block),
+    blocks = files.transform(map_batches, _Scan(separator, head, width, block),
                               "file string, block long, bounds array<struct<at:long,head:array<int>>>")
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     rows = blocks.withColumns({"carried": F.last(F.try_element_at("bounds", F.lit(-1)), ignorenulls=True).over(before),

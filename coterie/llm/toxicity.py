@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.llm import words
-from coterie.llm.arrow import appended, flat_text, lists_of, steps
+from coterie.llm.arrow import appended, flat_text, lists_of, map_batches, steps
 from coterie.llm.samples import fold, training_rows
 from coterie.session import written
 
@@ -111,7 +111,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
 
     sizes = {r.label: r.n for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1))
-    terms = sample.select("text", "label").mapInArrow(count, "term long, toxic long, clean long")
+    terms = sample.select("text", "label").transform(map_batches, count, "term long, toxic long, clean long")
     terms = terms.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where(
         F.col("toxic") >= LEAST_DOCUMENTS).withColumn("odds", odds).where(F.col("odds") >= LEAST_ODDS)
     rows = terms.orderBy(F.desc(F.col("odds") * F.log1p("toxic")), "term").limit(LEXICON_TERMS).collect()

@@ -66,7 +66,7 @@ def _power_tables(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
             table[0] = 1
             both.append(np.multiply.accumulate(table))
         have = _powers[int(base)] = (both[0], both[1])
-        if size > 1 << 22:  # a very long text: its tables are not kept
+        if size > 1 << 20:  # a very long text: its tables are not kept
             del _powers[int(base)]
     return have
 
