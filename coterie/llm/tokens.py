@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,7 +21,8 @@ HEAD_BITS = 13
 def write_token_files(docs: DataFrame, folder: str, separator: int) -> None:
     """Write ``ids`` (a binary of little-endian unsigned 32-bit numbers below 65,536)
     of every document to flat files of 16-bit numbers: HEAD ids of the doc_id, the
-    token ids, the separator.  The files hold nothing else, and have no index.
+    token ids, the separator.  The files hold nothing else, and have no index; they
+    are gzipped.
 
     One file per partition; a null ``ids`` is a document without tokens, a null doc_id
     is written as -1.  Ids that equal the separator raise an error.
@@ -40,7 +43,7 @@ def write_token_files(docs: DataFrame, folder: str, separator: int) -> None:
     records = appended(docs.select("doc_id", "ids"), "record binary", narrow)
     # The text sink writes a string's bytes as they are; the line end is the separator.
     records.select(F.col("record").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option(
-        "lineSep", chr(low) + chr(high)).option("compression", "none").text(folder)
+        "lineSep", chr(low) + chr(high)).option("compression", "gzip").text(folder)
 
 
 def scan_token_files(spark: SparkSession, folder: str, separator: int, head: int = 0, width: int = 2,
@@ -51,9 +54,9 @@ def scan_token_files(spark: SparkSession, folder: str, separator: int, head: int
 
     A document ends at a separator; ids after a file's last separator are one more
     document.  Two separators in a row enclose a document of no ids.  Ids are
-    little-endian unsigned numbers of ``width`` bytes.  A file is read whole by one
-    task, so write shards (Spark reads such a file up to 2 GB); all else goes block by
-    block: each block is searched in one numpy step, and a prefix scan over a file's
+    little-endian unsigned numbers of ``width`` bytes.  A file, gzipped if its name ends
+    in ``.gz``, is read by one task, so write shards (Spark reads such a file up to
+    2 GB); it is unpacked block by block, each block is searched in one numpy step, and a prefix scan over a file's
     blocks tells each where the document that it begins in has its start, and how many
     documents came before.
     """
@@ -83,26 +86,35 @@ class _Scan:
     def __call__(self, batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.frombuffer(content.as_buffer(), self.type)
-                for number, lo in enumerate(range(0, len(ids), self.block)):
-                    at = lo + np.flatnonzero(ids[lo:lo + self.block] == self.separator)
-                    if lo == 0:
-                        at = np.append(-1, at)
-                    if lo + self.block >= len(ids) and ids[-1] != self.separator:
-                        at = np.append(at, len(ids))
-                    first = at[:, None] + 1 + np.arange(self.head)
-                    # A head ends where its document does.
-                    end = np.append(at[1:], self._next(ids, lo + self.block))
-                    heads = [ids[f[f < e]].tolist() for f, e in zip(first, end)]
+                packed = pa.BufferReader(content.as_buffer())
+                for number, row in enumerate(self._bounds(gzip.GzipFile(fileobj=packed) if path.endswith(".gz") else packed)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([path]), pa.array([number], pa.int64()), pa.array(
-                            [[{"at": int(x), "head": h} for x, h in zip(at, heads)]],
-                            pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))])))],
+                            [row], pa.list_(pa.struct([("at", pa.int64()), ("head", pa.list_(pa.int32()))])))],
                         names=["file", "block", "bounds"])
 
-    def _next(self, ids, lo):
-        near = np.flatnonzero(ids[lo:lo + self.head + 1] == self.separator)
-        return lo + int(near[0]) if len(near) else len(ids)
+    def _bounds(self, stream):
+        """Per block its bounds; the ids after it are read on as far as a head goes."""
+        lo, held, more = 0, np.zeros(0, self.type), True
+        while True:
+            if more:
+                wanted = (self.block + self.head + 1 - len(held)) * held.itemsize
+                raw = stream.read(wanted)
+                more = len(raw) == wanted
+                held = np.concatenate([held, np.frombuffer(raw, self.type)])
+            if not len(held):
+                return
+            at = np.flatnonzero(held[:self.block] == self.separator)
+            if lo == 0:
+                at = np.append(-1, at)
+            if len(held) <= self.block and held[-1] != self.separator:
+                at = np.append(at, len(held))
+            # A head ends where its document does.
+            after = np.flatnonzero(held[self.block:] == self.separator)
+            end = np.append(at[1:], self.block + after[0] if len(after) else len(held))
+            first = at[:, None] + 1 + np.arange(self.head)
+            yield [{"at": lo + int(x), "head": held[f[f < e]].tolist()} for x, f, e in zip(at, first, end)]
+            lo, held = lo + self.block, held[self.block:]
 
 
 def head_number(head: Column) -> Column:
