@@ -11,40 +11,43 @@ from pyspark.sql import functions as F
 from coterie.functions.columns import unit_hash
 from coterie.operators.kmeans import N_INIT, SEED, kmeans
 from coterie.operators.labels import canonical
-from coterie.operators.neighbors import cheapest, knn_affinity
+from coterie.operators.neighbors import best_kernel, cheapest, knn_affinity
 from coterie.plans.cells import BLOCK_ROWS, matrix
 from coterie.plans.partials import sum_partials
 from coterie.session import cut_lineage, shuffle_width
 
 # --- Ward -----------------------------------------------------------------
 
-
-def _chain_merges(ids: list, x: np.ndarray, w: np.ndarray) -> list[tuple]:
-    """All Ward merges of a bounded set of weighted centroids as (gone, keep,
-    cost), following nearest-neighbour chains."""
-    alive = np.ones(len(ids), dtype=bool)
-    x, w = x.copy(), w.astype(float).copy()
-    merges, chain = [], []
-
-    def costs(i):
-        c = ((x - x[i]) ** 2).sum(1) * w * w[i] / (w + w[i])
-        c[~alive] = np.inf
-        c[i] = np.inf
-        return c
-
-    while alive.sum() > 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        c = costs(chain[-1])
-        j = int(c.argmin())
-        if len(chain) > 1 and c[chain[-2]] <= c[j]:
-            a, b = sorted((chain.pop(), chain.pop()))
-            merges.append((ids[b], ids[a], float(c[j])))
-            x[a] = (w[a] * x[a] + w[b] * x[b]) / (w[a] + w[b])
-            w[a] += w[b]
-            alive[b] = False
-        else:
-            chain.append(j)
+# Clusters that look for their nearest one at a time in the last rounds.
+CHUNK_ROWS = 256
+
+
+def _last_rounds(ids: np.ndarray, x: np.ndarray, w: np.ndarray, other: np.ndarray, cost: np.ndarray) -> list[tuple]:
+    """The remaining rounds of a bounded set of clusters, sorted by ID, as (gone, keep,
+    cost, round): the same rounds as on Spark, with the same kernel and ties.
+    ``other`` is the place of the nearest cluster where it is known, else -1."""
+    kernel = best_kernel(1, ward=True, skip_self=True)
+    x, w, other, cost = x.copy(), w.astype(float).copy(), other.copy(), cost.copy()
+    alive, merges, number = np.arange(len(ids)), [], 0
+
+    def rows(key, at):
+        return pd.DataFrame({key: at, "features": list(x[at]), "w": w[at]})
+
+    while len(alive) > 1:
+        dirty = alive[other[alive] < 0]
+        for lo in range(0, len(dirty), CHUNK_ROWS):
+            found = kernel(rows("pid", alive), rows("qid", dirty[lo:lo + CHUNK_ROWS]))
+            other[found["qid"]], cost[found["qid"]] = found["pid"], found["cost"]
+        keep = alive[(other[other[alive]] == alive) & (alive < other[alive])]
+        gone = other[keep]
+        merges += [(ids[g], ids[k], float(cost[k]), number) for g, k in zip(gone, keep)]
+        total = w[keep] + w[gone]
+        x[keep] = (x[keep] * w[keep][:, None] + x[gone] * w[gone][:, None]) / total[:, None]
+        w[keep] = total
+        other[np.isin(other, np.append(keep, gone))] = -1
+        other[keep] = -1
+        alive = np.setdiff1d(alive, gone)
+        number += 1
     return merges
 
 
@@ -67,8 +70,9 @@ def ward(samples: DataFrame, k: int, finish_rows: int = 2048, block_rows: int =
     The cost of a merge needs only sizes and centroids, and Ward linkage is
     reducible, so all pairs of mutual nearest clusters merge in the same round,
     and a cluster whose nearest one did not merge keeps it.  Rounds run on Spark
-    until at most ``finish_rows`` cluster summaries are left; their merges are
-    computed in one task.  Then the k - 1 costliest merges are undone.  Copies
+    until at most ``finish_rows`` cluster summaries are left; one task goes on with
+    the same rounds, so the number changes the speed but no merge, tied costs
+    included.  Then the k - 1 costliest merges are undone.  Copies
     merge at cost 0 and are one weighted row from the start.
     """
     vectors = samples.groupBy("features").agg(
@@ -95,18 +99,26 @@ def ward(samples: DataFrame, k: int, finish_rows: int = 2048, block_rows: int =
             merged.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "cost")
         n = state.count()
 
-    schema = f"gone {_id_type(state)}, keep {_id_type(state)}, cost double, step int"
+    schema = f"gone {_id_type(state)}, keep {_id_type(state)}, cost double, round int"
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        merges = _chain_merges(pdf["id"].tolist(), matrix(pdf["features"]), pdf["w"].to_numpy())
-        return pd.DataFrame([(*m, i) for i, m in enumerate(merges)], columns=["gone", "keep", "cost", "step"])
+        pdf = pdf.sort_values("id").reset_index(drop=True)
+        at = pd.Series(np.arange(len(pdf)), index=pdf["id"])
+        other = pdf["other"].map(at).fillna(-1).to_numpy().astype(int)
+        merges = _last_rounds(pdf["id"].to_numpy(), matrix(pdf["features"]), pdf["w"].to_numpy(), other,
+                              pdf["cost"].to_numpy(dtype=float, na_value=np.nan))
+        return pd.DataFrame(merges, columns=["gone", "keep", "cost", "round"])
 
     # At most finish_rows rows are left here.
-    last = state.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(finish, schema).collect()
-    tops = [(m.cost, len(rounds), m.step, m.gone) for m in last]
+    known = state.select("id", F.lit(None).cast(_id_type(state)).alias("other"), F.lit(None).cast("double").alias(
+        "cost")).limit(0) if nearest is None else nearest.select("id", "other", "cost")
+    left = state.join(known, "id", "left").withColumn("all", F.lit(0))
+    last = sorted(left.groupBy("all").applyInPandas(finish, schema).collect(), key=lambda m: m.round)
+    tops = [(m.cost, len(rounds) + m.round, 0, m.gone) for m in last]
     for i, pairs in enumerate(rounds):
-        tops += [(m.cost, i, 0, m.gone) for m in pairs.orderBy(F.desc("cost")).limit(max(0, k - 1)).collect()]
+        costly = pairs.orderBy(F.desc("cost"), F.desc("gone")).limit(max(0, k - 1))
+        tops += [(m.cost, i, 0, m.gone) for m in costly.collect()]
+    vectors.unpersist()
     undone = {t[3] for t in sorted(tops, reverse=True)[: max(0, k - 1)]}
 
     member = vectors.select("features", F.col("id").alias("cluster"))
@@ -165,6 +177,8 @@ def _embed_in_one_task(edges: DataFrame, base: DataFrame, p: int, k: int, steps:
             v = b @ coef
             if residual <= tol:
                 break
+        else:
+            raise RuntimeError(f"eigenvectors have a residual of {residual} after {max_restarts} restarts")
         return pd.DataFrame({"sample_id": nodes["sample_id"], "features": list(v[:, : min(k, p)] / size[:, None])})
 
     left = edges.withColumn("all", F.lit(0)).groupBy("all")
@@ -174,7 +188,7 @@ def _embed_in_one_task(edges: DataFrame, base: DataFrame, p: int, k: int, steps:
 
 
 def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int = 8, tol: float = 1e-4,
-                       max_restarts: int = 25, seed: int = SEED, finish_rows: int = 2048) -> DataFrame:
+                       max_restarts: int = 100, seed: int = SEED, finish_rows: int = 2048) -> DataFrame:
     """(sample_id, features): the k leading eigenvectors of the normalised graph,
     each divided by the square root of the degree.
 
@@ -182,7 +196,8 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int =
     multiplying by the graph is one join and one aggregate.  Each restart grows a
     Chebyshev basis (T_{j+1} = 2 A T_j - T_{j-1}) by ``steps`` multiplications; the
     driver solves only the projected problem, (steps + 1) x (k + 2) wide.  A graph
-    of at most ``finish_rows`` nodes is iterated in one task.
+    of at most ``finish_rows`` nodes is iterated in one task.  An iteration that
+    doesn't reach ``tol`` in ``max_restarts`` restarts raises an error.
     """
     parts = shuffle_width(edges.sparkSession)
     degree = edges.groupBy(F.col("i").alias("sample_id")).agg(
@@ -233,6 +248,8 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int =
         basis.unpersist()
         if residual <= tol:
             break
+    else:
+        raise RuntimeError(f"eigenvectors have a residual of {residual} after {max_restarts} restarts")
     links.unpersist()
     size = F.sqrt(F.when(F.col("deg") > 0, F.col("deg")).otherwise(1.0))
     return state.join(base.select("sample_id", "deg"), "sample_id").select(

@@ -19,7 +19,7 @@ def _type(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _best_kernel(k: int, ward: bool, skip_self: bool):
+def best_kernel(k: int, ward: bool, skip_self: bool):
     """Per query of a block pair, its k cheapest points: (qid, pid, cost)."""
 
     def kernel(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -94,7 +94,7 @@ def cheapest(queries: DataFrame, points: DataFrame, k: int, ward: bool = False,
     squares on merging.  Ties go to the smaller ``pid``.
     """
     n_points = points.count() if n_points is None else n_points
-    kernel = _best_kernel(k, ward, skip_self)
+    kernel = best_kernel(k, ward, skip_self)
     schema = f"qid {_type(queries, 'qid')}, pid {_type(points, 'pid')}, cost double"
     order = Window.partitionBy("qid").orderBy("cost", "pid")
 

@@ -53,13 +53,14 @@ def train_test_split(samples: DataFrame, test_size: float = TEST_SIZE, seed: int
     ``md5(sample_id:seed)``.
 
     The cut-off is found by counting hash prefixes (at most 4096 counts per pass)
-    until few hashes share one; the split itself is then a plain comparison.
+    until few hashes share one; the split itself is then a plain comparison.  Rows
+    of one ``sample_id`` stay together, so repeated ones can make the test side larger.
     """
     hashed = samples.withColumn(
         "_h", F.md5(F.concat(F.col("sample_id").cast("string"), F.lit(f":{seed}"))))
     hashes = hashed.select("_h")
     prefix, need, inside = "", None, None
-    while inside is None or inside > small:
+    while inside is None or (inside > small and len(prefix) < 32):
         part = F.substring("_h", 1, len(prefix) + 3)
         counts = sorted(
             (r.p, r["count"]) for r in
@@ -73,6 +74,8 @@ def train_test_split(samples: DataFrame, test_size: float = TEST_SIZE, seed: int
                 prefix, inside = p, c
                 break
             need -= c
+    if len(prefix) >= 32:  # a whole hash
+        return hashed.withColumn("is_test", F.col("_h") <= prefix).drop("_h")
     last = hashes.filter(F.col("_h").startswith(prefix)).orderBy("_h").limit(need).agg(F.max("_h")).first()[0]
     return hashed.withColumn("is_test", F.col("_h") <= last).drop("_h")
 

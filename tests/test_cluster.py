@@ -43,6 +43,15 @@ def test_ward_rounds_equal_greedy_merging(spark):
     assert (h.vector(got) == h.greedy_ward(x, 3)).all()
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_ward_with_ties_is_the_same_wherever_rounds_run(spark, seed):
+    x = np.random.default_rng(seed).integers(0, 4, (24, 2)).astype(float)
+    s = h.to_samples(spark, x).persist()
+    here = h.vector(ward(s, 3))
+    for finish_rows in (1, 5):
+        assert (h.vector(ward(s, 3, finish_rows=finish_rows, block_rows=64)) == here).all()
+
+
 def test_ward_undoes_costly_merges_of_early_rounds(spark):
     """Two far outliers pair up early, yet their merge is the costliest."""
     x = np.vstack([np.random.default_rng(2).normal(size=(20, 2)), [[1000.0, 0], [2000.0, 0]]])
