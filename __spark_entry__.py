@@ -417,13 +417,70 @@ def q_find_best_k(spark, sf):
 
 
 def q_run_single(spark, sf):
-    out = jobs.run_single(long_x(spark, sf).select("sample_id", "gene", "value"), y_of(spark, sf), n_init=N_STARTS,
-                          figures=False)
-    return _summary(out)
+    return _summary(_through_files(spark, jobs.run_single(
+        long_x(spark, sf).select("sample_id", "gene", "value"), y_of(spark, sf), n_init=N_STARTS)))
 
 
 def q_run_multi(spark, sf):
-    return _summary(jobs.run_multi(spark, three_specs(spark, sf), n_init=N_STARTS, figures=False))
+    return _summary(_through_files(spark, jobs.run_multi(spark, three_specs(spark, sf), n_init=N_STARTS)))
+
+
+def _through_files(spark, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All result tables, figures included, written and read back."""
+    path = scratch_path(spark, "results")
+    jobs.write_results(out, path)
+    return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in out.items()}
+
+
+# --- planted clusters: three shifts that every method must find ---------------
+
+
+def planted_x(spark, sf):
+    """All samples, every third feature shifted by five, which third by label modulo 3."""
+    shifted = F.transform("features", lambda x, i: x + F.when(i % 3 == F.col("y") % 3, 5.0).otherwise(0.0))
+    return written(samples_x(spark, sf).select("sample_id", shifted.alias("features"), (F.col("y") % 3).alias("y")))
+
+
+def q_planted(method):
+    def run(spark, sf):
+        return method(plain(planted_x(spark, sf)), 3).select("sample_id", "cluster")
+
+    return run
+
+
+def q_planted_classify(method):
+    def run(spark, sf):
+        rows = planted_x(spark, sf).withColumnRenamed("y", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
+        split = validate.train_test_split(rows)
+        return method(split.filter("NOT is_test").drop("is_test"), split.filter("is_test").drop("is_test"))
+
+    return run
+
+
+def q_planted_ablation(spark, sf):
+    x = planted_x(spark, sf)
+    scores = validate.ablation(plain(x), 3, x.select("sample_id", "y"), n_init=N_STARTS)
+    return rounded(scores.select("ord", "method", "ari"), "ari")
+
+
+def q_planted_best_k(spark, sf):
+    scores = validate.score_k(plain(planted_x(spark, sf)), n_init=N_STARTS)
+    return validate.choose_k(scores).select("k")
+
+
+def q_planted_run_single(spark, sf):
+    """The whole job on planted clusters: agreement with them, and rows of its tables."""
+    x = planted_x(spark, sf)
+    out = _through_files(spark, jobs.run_single(
+        x.select("sample_id", F.posexplode("features").alias("gene", "value")), x.select("sample_id", "y"), n_init=N_STARTS))
+    agreed = out["metrics"].select(F.lit("ari").alias("name"), F.round("ari", 6).alias("value"))
+    right = out["classifiers"].select(F.concat(F.lit("correct "), "model").alias("name"), F.col("n_correct").cast("double").alias("value"))
+    sizes = [out[t].agg(F.count(F.lit(1)).cast("double").alias("value")).select(F.lit(f"rows of {t}").alias("name"), "value")
+             for t in ("samples", "labels", "plane", "silhouettes", "ablation", "ablation_bars")]
+    rows = agreed.unionByName(right)
+    for size in sizes:
+        rows = rows.unionByName(size)
+    return rows
 
 
 def _summary(out: dict[str, DataFrame]) -> DataFrame:
@@ -573,6 +630,19 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "ablation": lambda s, d: rounded(
             validate.ablation(reduced(s, d), 3, y_of(s, d), n_init=N_STARTS),
             "silhouette", "davies_bouldin", "ari", digits=4),
+        # planted clusters
+        "planted_kmeans": q_planted(lambda x, k: kmeans.kmeans(x, k, n_init=N_STARTS)),
+        "planted_ward": q_planted(cluster.ward),
+        "planted_spectral": q_planted(lambda x, k: cluster.spectral(x, k, n_init=N_STARTS)),
+        "planted_fuzzy_cmeans": q_planted(lambda x, k: labels.canonical(labels.defuzzify(
+            fuzzy.fuzzy_cmeans(x, k).memberships(x)))),
+        "planted_hard_ensemble": q_planted(lambda x, k: consensus.hard_ensemble(x, k, n_init=N_STARTS)),
+        "planted_fuzzy_ensemble": q_planted(lambda x, k: consensus.fuzzy_ensemble(x, k, n_init=N_STARTS)),
+        "planted_classify_rf": q_planted_classify(validate.classify_rf),
+        "planted_classify_svm": q_planted_classify(validate.classify_svm),
+        "planted_ablation": q_planted_ablation,
+        "planted_best_k": q_planted_best_k,
+        "planted_run_single": q_planted_run_single,
         # figure tables
         "ablation_bars": q_ablation_bars,
         "heatmap_cells": lambda s, d: rounded(figures.heatmap_cells(plain(samples_x(s, d)), labels_x(s, d)), "value"),

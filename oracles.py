@@ -29,6 +29,8 @@ def scored(source: str) -> str:
   FROM {source} WINDOW w AS (PARTITION BY dataset, gene))"""
 
 
+PLANTED = """pl AS (SELECT vec_id AS sample_id, label % 3 AS y, CAST(k AS INTEGER) AS cluster FROM embeddings
+  JOIN (SELECT label % 3 AS m, row_number() OVER (ORDER BY min(vec_id)) - 1 AS k FROM embeddings GROUP BY 1) ON m = label % 3)"""
 LOADED = QC + ", " + scored("q3") + """,
 shared AS (SELECT gene FROM z3 GROUP BY gene HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM z3)),
 l3 AS (SELECT z3.* FROM z3 SEMI JOIN shared USING (gene) WHERE value IS NOT NULL)"""
@@ -288,6 +290,20 @@ def statements() -> dict[str, str]:
             FROM sil JOIN db USING (run) JOIN ari USING (run) GROUP BY run""",
         "choose_k": f"""WITH {X}, {KLAB}, {SIL}, s AS (SELECT run AS k, avg(silhouette) AS silhouette FROM sil GROUP BY 1)
             SELECT k, {r('silhouette')} AS silhouette FROM s ORDER BY silhouette DESC, k LIMIT 1""",
+        **{f"planted_{m}": f"WITH {PLANTED} SELECT sample_id, cluster FROM pl" for m in (
+            "kmeans", "ward", "spectral", "fuzzy_cmeans", "hard_ensemble", "fuzzy_ensemble")},
+        **{f"planted_classify_{m}": f"""WITH {SPLIT}, {PLANTED} SELECT sample_id, CAST(y AS INTEGER) AS cluster,
+            CAST(y AS INTEGER) AS predicted FROM pl JOIN sp USING (sample_id) WHERE is_test""" for m in ("rf", "svm")},
+        "planted_ablation": """SELECT CAST(ord AS INTEGER) AS ord, method, 1.0 AS ari FROM (VALUES (0, 'KMeans'),
+            (1, 'Fuzzy C-Means'), (2, 'Ensemble (no Fuzzy)'), (3, 'Fuzzy Ensemble')) t(ord, method)
+            WHERE (SELECT count(DISTINCT label % 3) FROM embeddings) = 3""",
+        "planted_best_k": "SELECT CAST(count(DISTINCT label % 3) AS INTEGER) AS k FROM embeddings",
+        "planted_run_single": f"""WITH {SPLIT}, n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)
+            SELECT 'ari' AS name, 1.0::DOUBLE AS value
+            UNION ALL SELECT 'correct ' || m, CAST((SELECT count(*) FROM sp WHERE is_test) AS DOUBLE)
+              FROM (VALUES ('RandomForest'), ('SVM'), ('KNN')) t(m)
+            UNION ALL SELECT 'rows of ' || t, n FROM n, (VALUES ('samples'), ('labels'), ('plane'), ('silhouettes')) v(t)
+            UNION ALL SELECT 'rows of ' || t, 4.0 FROM (VALUES ('ablation'), ('ablation_bars')) v(t)""",
         "train_test_split": f"WITH {SPLIT} SELECT sample_id, is_test FROM sp",
         "classify_knn": f"""WITH {X}, {LAB1}, {SPLIT}, sq AS (SELECT a.sample_id AS i, b.sample_id AS j, sum((a.value - b.value) ^ 2) AS d2
               FROM x a JOIN x b USING (gene) JOIN sp p ON p.sample_id = a.sample_id AND p.is_test
