@@ -14,7 +14,7 @@ from coterie.operators.labels import canonical
 from coterie.operators.neighbors import best_kernel, cheapest, knn_affinity
 from coterie.plans.cells import BLOCK_ROWS, matrix
 from coterie.plans.partials import sum_partials
-from coterie.session import cut_lineage, shuffle_width
+from coterie.session import cut_lineage, shuffle_width, written
 
 # --- Ward -----------------------------------------------------------------
 
@@ -195,57 +195,51 @@ def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int =
     ``edges(i, j, w)`` is symmetric.  The vectors live in a table keyed by sample;
     multiplying by the graph is one join and one aggregate.  Each restart grows a
     Chebyshev basis (T_{j+1} = 2 A T_j - T_{j-1}) by ``steps`` multiplications; the
-    driver solves only the projected problem, (steps + 1) x (k + 2) wide.  A graph
-    of at most ``finish_rows`` nodes is iterated in one task.  An iteration that
-    doesn't reach ``tol`` in ``max_restarts`` restarts raises an error.
+    driver solves only the projected problem, (steps + 1) x (k + 2) wide.  Every node
+    has a loop that brings its own row along, so a restart is one chain of joins, each
+    table read once, and one checkpoint.  A graph of at most ``finish_rows`` nodes is
+    iterated in one task.  An iteration that doesn't reach ``tol`` in ``max_restarts``
+    restarts raises an error.
     """
     parts = shuffle_width(edges.sparkSession)
     degree = edges.groupBy(F.col("i").alias("sample_id")).agg(
         F.sum("w").alias("deg"), F.count(F.lit(1)).alias("n_edges"))
     keys = F.ceil(F.col("n_edges") / F.lit(EDGES_PER_KEY)).cast("int")
-    base = nodes.select("sample_id").join(degree, "sample_id", "left").select(
-        "sample_id", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.coalesce(keys, F.lit(1)).alias("keys")).persist()
+    base = written(nodes.select("sample_id").join(degree, "sample_id", "left").select(
+        "sample_id", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.coalesce(keys, F.lit(1)).alias("keys")), "nodes")
     n = base.count()
     p = min(k + 2, n)
     if n <= finish_rows:
         return _embed_in_one_task(edges, base, p, k, steps, tol, max_restarts, seed)
     root = base.select("sample_id", F.sqrt("deg").alias("r"), "keys")
-    links = edges.join(root.select(F.col("sample_id").alias("i"), F.col("r").alias("ri")), "i").join(
+    between = edges.join(root.select(F.col("sample_id").alias("i"), F.col("r").alias("ri")), "i").join(
         root.select(F.col("sample_id").alias("j"), F.col("r").alias("rj"), "keys"), "j").select(
         "i", "j", F.pmod(F.xxhash64("i"), F.col("keys")).cast("int").alias("salt"),
-        (F.col("w") / (F.col("ri") * F.col("rj"))).alias("w")).repartition(parts, "j", "salt").persist()
-
-    def times(table: DataFrame) -> DataFrame:
-        spread = table.select(F.col("sample_id").alias("j"), "v", F.explode(
+        (F.col("w") / (F.col("ri") * F.col("rj"))).alias("w"), F.lit(False).alias("loop"))
+    loops = base.select(F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), F.lit(0).alias("salt"),
+                        F.lit(0.0).alias("w"), F.lit(True).alias("loop"))
+    links = between.unionByName(loops).repartition(parts, "j", "salt").persist()
+
+    def grow(table: DataFrame, j: int) -> DataFrame:
+        """T_{j+1} as ``v``, and appended to ``features``, which holds T_0 to T_j."""
+        spread = table.select(F.col("sample_id").alias("j"), "v", "keys", "features", F.explode(
             F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"))
-        return links.join(spread, ["j", "salt"]).groupBy(F.col("i").alias("sample_id")).agg(
-            F.array(*[F.sum(F.col("w") * F.get("v", F.lit(c))) for c in range(p)]).alias("m"))
-
-    zero = F.array(*[F.lit(0.0)] * p)
-    state = cut_lineage(base.select("sample_id", "keys", F.array(*_start_columns(p, seed)).alias("v")))
+        own = F.first(F.when(F.col("loop"), F.struct("keys", "features")), ignorenulls=True)
+        product = links.join(spread, ["j", "salt"]).groupBy(F.col("i").alias("sample_id")).agg(
+            F.array(*[F.sum(F.col("w") * F.get("v", F.lit(c))) for c in range(p)]).alias("m"), own.alias("own"))
+        before = F.slice("own.features", (j - 1) * p + 1, p) if j else F.array(*[F.lit(0.0)] * p)
+        v = F.zip_with("m", before, lambda a, b: 2 * a - b) if j else F.col("m")
+        return product.select("sample_id", "own.keys", v.alias("v"), "own.features").select(
+            "sample_id", "keys", "v", F.concat("features", "v").alias("features"))
+
+    state = base.select("sample_id", "keys", F.array(*_start_columns(p, seed)).alias("v"))
     for _ in range(max_restarts):
-        chain = [state]
+        table = state.withColumn("features", F.col("v"))
         for j in range(steps + 1):
-            # Every table of the chain is read back, so plans do not nest.
-            now = chain[-1].select("sample_id", "keys").join(times(chain[-1]), "sample_id", "left")
-            m = F.coalesce("m", zero)
-            if j == 0:
-                grown = now.select("sample_id", "keys", m.alias("v"))
-            else:
-                before = chain[-2].select("sample_id", F.col("v").alias("u"))
-                grown = now.join(before, "sample_id").select(
-                    "sample_id", "keys", F.zip_with(m, "u", lambda a, b: 2 * a - b).alias("v"))
-            chain.append(cut_lineage(grown))
-        rows = None
-        for j, table in enumerate(chain):
-            one = table.select("sample_id", "keys", F.lit(j).alias("j"), "v")
-            rows = one if rows is None else rows.unionByName(one)
-        # steps + 2 rows per sample become its row of the basis.
-        basis = rows.groupBy("sample_id", "keys").agg(F.flatten(F.transform(
-            F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"])).alias("features")).persist()
+            table = grow(table, j)
+        basis = cut_lineage(table.select("sample_id", "keys", "features"))
         coef, residual = _ritz(_gram(basis, (steps + 2) * p), p, steps, k)
-        state = cut_lineage(_combine(basis, coef))
-        basis.unpersist()
+        state = _combine(basis, coef)
         if residual <= tol:
             break
     else:

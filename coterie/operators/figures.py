@@ -9,6 +9,7 @@ from coterie.operators.cluster import spectral_embedding
 from coterie.operators.features import pca
 from coterie.operators.kmeans import SEED
 from coterie.operators.neighbors import knn_affinity
+from coterie.session import cut_lineage
 
 
 def ablation_bars(scores: DataFrame) -> DataFrame:
@@ -56,7 +57,8 @@ def project_2d(samples: DataFrame, labels: DataFrame, method: str = "pca", seed:
         plane = pca(samples, n=2)
         at = (0, 1)
     else:
-        plane = spectral_embedding(knn_affinity(samples), samples, 3, seed=seed)
+        edges = cut_lineage(knn_affinity(samples))
+        plane = spectral_embedding(edges, samples, 3, seed=seed)
         at = (1, 2)
     return plane.join(labels, "sample_id").select(
         "sample_id", F.get("features", F.lit(at[0])).alias("x"),

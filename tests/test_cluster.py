@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from coterie.operators import kmeans as km
+from coterie.operators import cluster, kmeans as km
 from coterie.operators.cluster import spectral, spectral_embedding, ward
 from coterie.operators.consensus import (
     coassociation, consensus_features, fuzzy_consensus, fuzzy_ensemble, hard_ensemble, wide_labels,
@@ -64,7 +64,10 @@ def test_ward_with_copies(spark):
     assert (h.vector(ward(h.to_samples(spark, x), 3)) == h.greedy_ward(x, 3)).all()
 
 
-def test_spectral_iteration_on_spark_matches_dense_eigenvectors(spark):
+@pytest.mark.parametrize(("finish_rows", "edges_per_key"), [(2048, cluster.EDGES_PER_KEY), (10, 4)])
+def test_spectral_iteration_matches_dense_eigenvectors(spark, monkeypatch, finish_rows, edges_per_key):
+    """In one task, and on Spark with every node spread over several keys."""
+    monkeypatch.setattr(cluster, "EDGES_PER_KEY", edges_per_key)
     x, _ = h.blobs(60, 1, 2, spread=2.0)
     s = h.to_samples(spark, x)
     edges = knn_affinity(s).persist()
@@ -74,11 +77,10 @@ def test_spectral_iteration_on_spark_matches_dense_eigenvectors(spark):
     deg = w.sum(1)
     lam, q = np.linalg.eigh(w / np.sqrt(deg[:, None] * deg[None]))
     want = (q[:, ::-1][:, :3] / np.sqrt(deg)[:, None])
-    for finish_rows in (2048, 10):
-        got = np.array(h.vector(spectral_embedding(edges, s, 3, finish_rows=finish_rows), "features").tolist())
-        for c in range(3):
-            cos = abs(got[:, c] @ want[:, c]) / np.linalg.norm(got[:, c]) / np.linalg.norm(want[:, c])
-            assert cos > 0.999
+    got = np.array(h.vector(spectral_embedding(edges, s, 3, finish_rows=finish_rows), "features").tolist())
+    for c in range(3):
+        cos = abs(got[:, c] @ want[:, c]) / np.linalg.norm(got[:, c]) / np.linalg.norm(want[:, c])
+        assert cos > 0.999
 
 
 def test_kmeans_weights_count_as_copies(spark):
