@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coterie.llm import (
-    bpe, chat, decontaminate, embeddings, quality, samples, simhash, substrings, tokens, toxicity, urls,
+    audit, bpe, chat, decontaminate, embeddings, licenses, middle, quality, samples, simhash, substrings, tokens, toxicity,
+    urls,
 )
 from coterie.session import scratch_path
 
@@ -98,6 +99,23 @@ def op10_embedding_dedup(spark, sf):
     return embeddings.near_vectors(table(spark, sf, "embeddings"))
 
 
+def op11_license_scan(spark, sf):
+    out = licenses.license_labels(texts(spark, sf), without=("text",))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                      F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_fill_in_middle(spark, sf):
+    out = middle.fill_in_middle(texts(spark, sf))
+    back = middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_filter_audit(spark, sf):
+    return audit.filter_audit(table(spark, sf, "documents").select("doc_id", "text", "lang"), table(spark, sf, "labels"))
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -109,7 +127,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
     return {q.__name__: q for q in (
         op1_url_filter, op2_chat_format, op3_simhash, op4_token_count, op5_toxicity, op6_substring_dedup, op7_byte_bpe,
-        op8_quality, op9_decontaminate, op10_embedding_dedup, pipeline)}
+        op8_quality, op9_decontaminate, op10_embedding_dedup, op11_license_scan, op12_fill_in_middle, op13_filter_audit,
+        pipeline)}
 
 
 # --- DuckDB -----------------------------------------------------------------
@@ -201,9 +220,57 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(component_id, vec_id) AS co
 FROM embeddings LEFT JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
 """
 
+_UNIT = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '""" + _UNIT + r"""') AS u,
+             sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+             WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM g),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM x
+"""
+
+OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '""" + _WHITE + r"""') AS w
+  FROM documents),
+f AS (
+  SELECT doc_id, part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t),
+     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+o(filter_order) AS (
+  SELECT '' UNION ALL SELECT filter_order || x FROM o, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(filter_order, x)),
+k AS (SELECT filter_order, step, ascii(filter_order[step]) - 64 AS i, [ascii(y) - 64 FOR y IN string_split(filter_order[1:step - 1], '') IF y <> ''] AS e
+      FROM o, range(1, 6) s(step) WHERE length(filter_order) = 5),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY part, fails),
+r AS (
+  SELECT part, filter_order, step, i, n, good, toxic, fails[i] AS now, len(list_filter(e, lambda j: fails[j])) > 0 AS earlier,
+    len(list_filter(fails, lambda y: y)) AS many FROM c, k),
+s AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, chr(64 + CAST(any_value(i) AS INTEGER)) AS filter,
+    CAST(coalesce(sum(n) FILTER (NOT now AND NOT earlier), 0) AS BIGINT) AS kept,
+    CAST(coalesce(sum(n) FILTER (now AND NOT earlier), 0) AS BIGINT) AS removed,
+    CAST(coalesce(sum(n) FILTER (now AND earlier), 0) AS BIGINT) AS redundant,
+    CAST(coalesce(sum(n) FILTER (now AND many = 1), 0) AS BIGINT) AS unique_fails,
+    CAST(coalesce(sum(good) FILTER (now AND NOT earlier), 0) AS BIGINT) AS good_lost,
+    CAST(coalesce(sum(toxic) FILTER (now AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step)
+SELECT *, CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM s
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, tokens and models have no SQL; tests hold them against brute force,
     round trips and held-out labels."""
     return {"op1_url_filter": OP1, "op2_chat_format": OP2, "op6_substring_dedup": OP6, "op9_decontaminate": OP9,
-            "op10_embedding_dedup": OP10}
+            "op10_embedding_dedup": OP10, "op12_fill_in_middle": OP12, "op13_filter_audit": OP13}
