@@ -156,7 +156,7 @@ class Scan:
         first = np.unique(group * (int(x.place.max(initial=0)) + 1) + place, return_index=True)[1]
         gain = np.bincount(group[first], x.idf[self.word[at[first]]], int(new.sum()))
         lead = np.flatnonzero(new)
-        tail = np.append(lead[1:], len(at)) - 1
+        tail = np.append(lead, len(at))[1:] - 1
         text, which = self.text[at[lead]], template[lead]
         share = gain / np.maximum(x.total[which], 1e-300)
         sizes = np.array([len(body) for body in x.bodies])

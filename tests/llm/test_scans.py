@@ -107,6 +107,12 @@ def test_license_scan(spark):
     assert licenses.license_labels(docs.limit(0)).count() == 0
 
 
+def test_license_scan_of_texts_without_any_known_word(spark):
+    out = licenses.license_labels(docs_of(spark, [(1, "zzz", "en"), (2, "", "en"), (3, None, "en")])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_base, r.labels, r.score) for r in out) == [
+        (1, 1, 0, [], 0.0), (2, 0, 0, [], 0.0), (3, 0, 0, [], 0.0)]
+
+
 def test_license_index_refuses_empty_phrases():
     with pytest.raises(ValueError):
         licenses.Index((licenses.Template("x", "some words", ("--",)),))
