@@ -3,9 +3,14 @@ numbered by their smallest sample."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.columns import unit_hash
@@ -14,20 +19,24 @@ from coterie.operators.labels import canonical
 from coterie.operators.neighbors import best_kernel, cheapest, knn_affinity
 from coterie.plans.cells import BLOCK_ROWS, matrix
 from coterie.plans.partials import sum_partials
-from coterie.session import cut_lineage, shuffle_width, written
+from coterie.plans.tree import CELL, build_tree, column_type
+from coterie.session import cut_lineage, written
 
 # --- Ward -----------------------------------------------------------------
 
-# Clusters that look for their nearest one at a time in the last rounds.
-CHUNK_ROWS = 256
+#: The top of the merge tree: this many cluster summaries are merged on the driver.
+TOP_ROWS = 64
+#: Clustering features of the approximate mode.
+SUMMARIES = 1024
 
 
-def _last_rounds(ids: np.ndarray, x: np.ndarray, w: np.ndarray, other: np.ndarray, cost: np.ndarray) -> list[tuple]:
-    """The remaining rounds of a bounded set of clusters, sorted by ID, as (gone, keep,
-    cost, round): the same rounds as on Spark, with the same kernel and ties.
-    ``other`` is the place of the nearest cluster where it is known, else -1."""
+def _last_rounds(top: pd.DataFrame) -> list[tuple]:
+    """The remaining rounds of the clusters in ``top`` (id, features, w) as (gone, keep,
+    cost, round): the same rounds as on Spark, with the same kernel and ties."""
     kernel = best_kernel(1, ward=True, skip_self=True)
-    x, w, other, cost = x.copy(), w.astype(float).copy(), other.copy(), cost.copy()
+    top = top.sort_values("id")
+    ids, x, w = top["id"].to_numpy(), matrix(top["features"]), top["w"].to_numpy(dtype=float).copy()
+    other, cost = np.full(len(ids), -1), np.zeros(len(ids))
     alive, merges, number = np.arange(len(ids)), [], 0
 
     def rows(key, at):
@@ -35,9 +44,8 @@ def _last_rounds(ids: np.ndarray, x: np.ndarray, w: np.ndarray, other: np.ndarra
 
     while len(alive) > 1:
         dirty = alive[other[alive] < 0]
-        for lo in range(0, len(dirty), CHUNK_ROWS):
-            found = kernel(rows("pid", alive), rows("qid", dirty[lo:lo + CHUNK_ROWS]))
-            other[found["qid"]], cost[found["qid"]] = found["pid"], found["cost"]
+        found = kernel(rows("pid", alive), rows("qid", dirty))
+        other[found["qid"]], cost[found["qid"]] = found["pid"], found["cost"]
         keep = alive[(other[other[alive]] == alive) & (alive < other[alive])]
         gone = other[keep]
         merges += [(ids[g], ids[k], float(cost[k]), number) for g, k in zip(gone, keep)]
@@ -51,102 +59,125 @@ def _last_rounds(ids: np.ndarray, x: np.ndarray, w: np.ndarray, other: np.ndarra
     return merges
 
 
-def _merge_round(state: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Replace the two clusters of each pair by their union."""
-    a = state.select(F.col("id").alias("keep"), F.col("features").alias("fa"), F.col("w").alias("wa"))
-    b = state.select(F.col("id").alias("gone"), F.col("features").alias("fb"), F.col("w").alias("wb"))
-    total = F.col("wa") + F.col("wb")
-    united = pairs.join(a, "keep").join(b, "gone").select(
-        F.col("keep").alias("id"),
-        F.zip_with("fa", "fb", lambda x, y: (x * F.col("wa") + y * F.col("wb")) / total).alias("features"),
-        total.alias("w"))
-    touched = pairs.select(F.explode(F.array("keep", "gone")).alias("id"))
-    return state.join(touched, "id", "left_anti").unionByName(united)
-
-
-def ward(samples: DataFrame, k: int, finish_rows: int = 2048, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Agglomerative clustering with Ward linkage, cut at k clusters.  Exact.
-
-    The cost of a merge needs only sizes and centroids, and Ward linkage is
-    reducible, so all pairs of mutual nearest clusters merge in the same round,
-    and a cluster whose nearest one did not merge keeps it.  Rounds run on Spark
-    until at most ``finish_rows`` cluster summaries are left; one task goes on with
-    the same rounds, so the number changes the speed but no merge, tied costs
-    included.  Then the k - 1 costliest merges are undone.  Copies
-    merge at cost 0 and are one weighted row from the start.
+def _merge_round(state: DataFrame, n: int, block_rows: int) -> DataFrame:
+    """One row per cluster that the round leaves: ``members`` holds the two that merge
+    (the kept one first) or the one that stays, each with its nearest cluster.
+
+    Clusters without a known nearest one search; two that name each other share the key
+    of their pair, so one aggregate finds and unites them."""
+    dirty = state.filter("other IS NULL")
+    found = cheapest(dirty.select(F.col("id").alias("qid"), "features", "w"),
+                     state.select(F.col("id").alias("pid"), "features", "w"),
+                     1, ward=True, skip_self=True, block_rows=block_rows, n_points=n)
+    found = found.select(F.col("qid").alias("id"), F.col("pid").alias("other"), "cost")
+    near = state.filter("other IS NOT NULL").unionByName(dirty.drop("other", "cost").join(found, "id"))
+    pair = [F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi")]
+    return near.groupBy(*pair).agg(F.array_sort(F.collect_list(
+        F.struct("id", "features", "w", "other", "cost"))).alias("members")).select("members")
+
+
+def _merges(left: DataFrame) -> DataFrame:
+    """(gone, keep, cost) of a round."""
+    return left.filter(F.size("members") == 2).select(
+        F.col("members")[1]["id"].alias("gone"), F.col("members")[0]["id"].alias("keep"), F.col("members")[0]["cost"].alias("cost"))
+
+
+def _next_state(left: DataFrame) -> DataFrame:
+    """(id, features, w, other, cost) after a round: unions, and whoever's nearest cluster
+    merged, have to search again."""
+    a, b = F.col("members")[0], F.col("members")[1]
+    total = a["w"] + b["w"]
+    nothing = left.schema["members"].dataType.elementType
+    unknown = [F.lit(None).cast(nothing[c].dataType).alias(c) for c in ("other", "cost")]
+    united = left.filter(F.size("members") == 2).select(
+        a["id"].alias("id"),
+        F.zip_with(a["features"], b["features"], lambda x, y: (x * a["w"] + y * b["w"]) / total).alias("features"),
+        total.alias("w"), *unknown)
+    alone = left.filter(F.size("members") == 1).select(a.alias("c")).select("c.*")
+    touched = _merges(left).select(F.explode(F.array("keep", "gone")).alias("other"), F.lit(True).alias("touched"))
+    alone = alone.join(touched, "other", "left")
+    known = [F.when(F.col("touched").isNull(), F.col(c)).alias(c) for c in ("other", "cost")]
+    return united.unionByName(alone.select("id", "features", "w", *known))
+
+
+def clustering_features(vectors: DataFrame, n: int, summaries: int = SUMMARIES) -> tuple[DataFrame, DataFrame]:
+    """(id, cell) of ``vectors(id, features, w)`` and (id, features, w) of about
+    ``summaries`` clustering features: weight and mean of the vectors in each leaf of a
+    two-level pivot tree, named by their smallest id.  Features of two leaves add up, so
+    clusters can be merged from them alone."""
+    tree = build_tree(vectors.withColumnRenamed("id", "pid"), n, max(1, -(-n // summaries)))
+    located = tree.points.select(F.col("pid").alias("id"), "features", "w", *CELL)
+    mean = vector_to_array(Summarizer.mean(array_to_vector("features"), F.col("w")))
+    cells = written(located.groupBy(*CELL).agg(
+        F.min("id").alias("leaf_id"), mean.alias("features"), F.sum("w").alias("w")), "clustering-features")
+    member = located.select("id", *CELL).join(cells.select(*CELL, "leaf_id"), CELL).select("id", F.col("leaf_id").alias("cluster"))
+    return member, cells.select(F.col("leaf_id").alias("id"), "features", "w")
+
+
+def ward(samples: DataFrame, k: int, top_rows: int = TOP_ROWS, block_rows: int = BLOCK_ROWS, mode: str = "exact",
+         summaries: int = SUMMARIES) -> DataFrame:
+    """Agglomerative clustering with Ward linkage, cut at k clusters.
+
+    The cost of a merge needs only sizes and centroids, and Ward linkage is reducible, so
+    all pairs of mutual nearest clusters merge in the same round, and a cluster whose
+    nearest one did not merge keeps it.  Rounds run on Spark, one written table each,
+    until ``top_rows`` cluster summaries are left; the driver goes on with the same
+    rounds, so that number changes no merge, tied costs included.  Then the k - 1
+    costliest merges are undone.  Copies merge at cost 0 and are one weighted row from
+    the start.
+
+    ``mode='exact'`` starts from all vectors, ``mode='summaries'`` from about
+    ``summaries`` clustering features, so that its rounds don't grow with the samples.
     """
-    vectors = samples.groupBy("features").agg(
-        F.min("sample_id").alias("id"), F.count(F.lit(1)).cast("double").alias("w")).persist()
-    state, n = vectors, vectors.count()
+    if mode not in ("exact", "summaries"):
+        raise ValueError(f"unknown mode {mode}")
+    vectors = written(samples.groupBy("features").agg(
+        F.min("sample_id").alias("id"), F.count(F.lit(1)).cast("double").alias("w")), "vectors")
+    n = vectors.count()
+    id_type = column_type(vectors, "id")
+    member, state = vectors.select("id", F.col("id").alias("cluster")), vectors.select("id", "features", "w")
+    if mode == "summaries" and n > summaries:
+        member, state = clustering_features(state, n, summaries)
+        member, n = written(member, "members"), state.count()
+    state = state.select("*", F.lit(None).cast(id_type).alias("other"), F.lit(None).cast("double").alias("cost"))
     rounds: list[DataFrame] = []
-    nearest = None
-    while n > max(finish_rows, 1):
-        dirty = state if nearest is None else state.join(nearest.select("id"), "id", "left_anti")
-        found = cheapest(
-            dirty.select(F.col("id").alias("qid"), "features", "w"),
-            state.select(F.col("id").alias("pid"), "features", "w"),
-            1, ward=True, skip_self=True, block_rows=block_rows, n_points=n,
-        ).select(F.col("qid").alias("id"), F.col("pid").alias("other"), "cost")
-        nearest = cut_lineage(found if nearest is None else nearest.unionByName(found))
-        back = nearest.select(F.col("id").alias("other"), F.col("other").alias("id"))
-        pairs = nearest.join(back, ["id", "other"]).filter(F.col("id") < F.col("other")).select(
-            F.col("other").alias("gone"), F.col("id").alias("keep"), "cost")
-        pairs = cut_lineage(pairs)
-        rounds.append(pairs)
-        state = cut_lineage(_merge_round(state, pairs))
-        merged = pairs.select(F.explode(F.array("keep", "gone")).alias("id"))
-        nearest = nearest.join(merged, "id", "left_anti").join(
-            merged.select(F.col("id").alias("other")), "other", "left_anti").select("id", "other", "cost")
-        n = state.count()
-
-    schema = f"gone {_id_type(state)}, keep {_id_type(state)}, cost double, round int"
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        at = pd.Series(np.arange(len(pdf)), index=pdf["id"])
-        other = pdf["other"].map(at).fillna(-1).to_numpy().astype(int)
-        merges = _last_rounds(pdf["id"].to_numpy(), matrix(pdf["features"]), pdf["w"].to_numpy(), other,
-                              pdf["cost"].to_numpy(dtype=float, na_value=np.nan))
-        return pd.DataFrame(merges, columns=["gone", "keep", "cost", "round"])
-
-    # At most finish_rows rows are left here.
-    known = state.select("id", F.lit(None).cast(_id_type(state)).alias("other"), F.lit(None).cast("double").alias(
-        "cost")).limit(0) if nearest is None else nearest.select("id", "other", "cost")
-    left = state.join(known, "id", "left").withColumn("all", F.lit(0))
-    last = sorted(left.groupBy("all").applyInPandas(finish, schema).collect(), key=lambda m: m.round)
-    tops = [(m.cost, len(rounds) + m.round, 0, m.gone) for m in last]
-    for i, pairs in enumerate(rounds):
-        costly = pairs.orderBy(F.desc("cost"), F.desc("gone")).limit(max(0, k - 1))
-        tops += [(m.cost, i, 0, m.gone) for m in costly.collect()]
-    vectors.unpersist()
-    undone = {t[3] for t in sorted(tops, reverse=True)[: max(0, k - 1)]}
-
-    member = vectors.select("features", F.col("id").alias("cluster"))
-    for i, pairs in enumerate(rounds):
-        step = pairs.filter(~F.col("gone").isin(list(undone))) if undone else pairs
-        member = member.join(step.select(F.col("gone").alias("cluster"), "keep"), "cluster", "left").select(
-            "features", F.coalesce("keep", "cluster").alias("cluster"))
+    while n > max(top_rows, 1):
+        left = written(_merge_round(state, n, block_rows), "ward-round")
+        rounds.append(_merges(left))
+        state, n = _next_state(left), left.count()
+
+    # At most top_rows rows are left here.
+    last = _last_rounds(state.select("id", "features", "w").toPandas()) if n else []
+    merges = [df.select("gone", "keep", "cost", F.lit(i).alias("round")) for i, df in enumerate(rounds)]
+    if last:
+        merges.append(samples.sparkSession.createDataFrame(
+            [(getattr(g, "item", lambda g=g: g)(), getattr(t, "item", lambda t=t: t)(), c, len(rounds) + i) for g, t, c, i in last],
+            f"gone {id_type}, keep {id_type}, cost double, round int"))
+    undone = []
+    if merges and k > 1:
+        every = reduce(DataFrame.unionByName, merges)
+        undone = [m.gone for m in every.orderBy(F.desc("cost"), F.desc("round"), F.desc("gone")).limit(k - 1).collect()]
+    for i in range(len(rounds) + bool(last)):
+        steps = merges[i].filter(~F.col("gone").isin(undone)) if undone else merges[i]
+        if i == len(rounds):  # the driver's rounds, each cluster with where it ends
+            root: dict = {}
+            for m in reversed(steps.orderBy("round").collect()):
+                root[m.gone] = root.get(m.keep, m.keep)
+            if not root:
+                break
+            steps = samples.sparkSession.createDataFrame(list(root.items()), f"gone {id_type}, keep {id_type}")
+        member = member.join(steps.select(F.col("gone").alias("cluster"), "keep"), "cluster", "left").select(
+            "id", F.coalesce("keep", "cluster").alias("cluster"))
         if i % 8 == 7:
-            member = cut_lineage(member)
-    root: dict = {}
-    for m in reversed(last):
-        if m.gone not in undone:
-            root[m.gone] = root.get(m.keep, m.keep)
-    if root:
-        moves = samples.sparkSession.createDataFrame(list(root.items()), f"cluster {_id_type(state)}, root {_id_type(state)}")
-        member = member.join(moves, "cluster", "left").select(
-            "features", F.coalesce("root", "cluster").alias("cluster"))
-    return canonical(samples.select("sample_id", "features").join(member, "features").select("sample_id", "cluster"))
-
-
-def _id_type(state: DataFrame) -> str:
-    return state.schema["id"].dataType.simpleString()
+            member = written(member, "members")
+    named = vectors.select("features", "id").join(member, "id").select("features", "cluster")
+    return canonical(samples.select("sample_id", "features").join(named, "features").select("sample_id", "cluster"))
 
 
 # --- spectral -------------------------------------------------------------
 
-# Edges of one node per join key; busier nodes are spread over several keys.
-EDGES_PER_KEY = 1 << 17
+#: Nodes of a vector block, and edges that are packed into one row.
+BLOCK_NODES, EDGES_PER_ROW = 512, 1 << 15
 
 
 def _start_columns(p: int, seed: int) -> list:
@@ -155,99 +186,138 @@ def _start_columns(p: int, seed: int) -> list:
     return [F.sqrt("deg")] + [unit_hash(F.col("sample_id"), F.lit(c), F.lit(seed)) - 0.5 for c in range(1, p)]
 
 
-def _embed_in_one_task(edges: DataFrame, base: DataFrame, p: int, k: int, steps: int, tol: float,
-                       max_restarts: int, seed: int) -> DataFrame:
-    """The same iteration for a graph bounded by ``finish_rows`` nodes."""
-    sid = base.schema["sample_id"].dataType.simpleString()
-
-    def solve(key: tuple, links: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
-        nodes = nodes.sort_values("sample_id").reset_index(drop=True)
-        at = pd.Series(np.arange(len(nodes)), index=nodes["sample_id"])
-        a = np.zeros((len(nodes), len(nodes)))
-        a[at[links["i"]], at[links["j"]]] = links["w"]
-        size = np.sqrt(np.where(nodes["deg"] > 0, nodes["deg"], 1.0))
-        a /= size[:, None] * size[None, :]
-        v = matrix(nodes["start"])
-        for _ in range(max_restarts):
-            chain = [v, a @ v]
-            for _ in range(steps):
-                chain.append(2 * a @ chain[-1] - chain[-2])
-            b = np.hstack(chain)
-            coef, residual = _ritz(b.T @ b, p, steps, k)
-            v = b @ coef
-            if residual <= tol:
-                break
-        else:
-            raise RuntimeError(f"eigenvectors have a residual of {residual} after {max_restarts} restarts")
-        return pd.DataFrame({"sample_id": nodes["sample_id"], "features": list(v[:, : min(k, p)] / size[:, None])})
-
-    left = edges.withColumn("all", F.lit(0)).groupBy("all")
-    right = base.withColumn("start", F.array(*_start_columns(p, seed))).select(
-        F.col("sample_id").alias("sample_id"), F.col("deg").alias("deg"), "start", F.lit(0).alias("all")).groupBy("all")
-    return left.cogroup(right).applyInPandas(solve, f"sample_id {sid}, features array<double>")
+def _numbered(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """(sample_id, deg, block, pos) of the nodes: blocks by a hash, places by ID."""
+    degree = edges.groupBy(F.col("i").alias("sample_id")).agg(F.sum("w").alias("deg"))
+    n = nodes.count()
+    blocks = max(1, -(-n // BLOCK_NODES))
+    base = nodes.select("sample_id").join(degree, "sample_id", "left").select(
+        "sample_id", F.coalesce("deg", F.lit(0.0)).alias("deg"),
+        F.pmod(F.xxhash64("sample_id", F.lit("block")), F.lit(blocks)).cast("int").alias("block"))
+    place = F.row_number().over(Window.partitionBy("block").orderBy("sample_id")) - 1
+    return written(base.withColumn("pos", place), "nodes"), n
+
+
+def _packed(edges: DataFrame, base: DataFrame) -> DataFrame:
+    """The normalised graph as rows of at most about EDGES_PER_ROW edges that leave one
+    block: (col_block, part, rows, row_block, col, w), the arrays as bytes, sorted by the
+    node that they reach.  The edges of a busy node are dealt over several rows."""
+    def ends(node: str, prefix: str) -> DataFrame:
+        return base.where("deg > 0").select(F.col("sample_id").alias(node), F.sqrt("deg").alias(f"{prefix}_root"),
+                                            F.col("block").alias(f"{prefix}_block"), F.col("pos").alias(prefix))
+
+    linked = edges.join(ends("i", "row"), "i").join(ends("j", "col"), "j").select(
+        "col_block", "row_block", "row", "col", (F.col("w") / (F.col("row_root") * F.col("col_root"))).alias("w"))
+    linked = written(linked, "linked")
+    parts = linked.groupBy("col_block").agg(F.ceil(F.count(F.lit(1)) / F.lit(EDGES_PER_ROW)).cast("int").alias("parts"))
+    dealt = linked.join(parts, "col_block").withColumn("part", F.pmod(F.xxhash64("row_block", "row"), F.col("parts")).cast("int"))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["row_block", "row", "col"])
+        kinds = {"row_block": "<i4", "row": "<i4", "col": "<i4", "w": "<f8"}
+        return pd.DataFrame({"col_block": pdf["col_block"].iloc[:1], "part": pdf["part"].iloc[:1],
+                             **{c: [pdf[c].to_numpy().astype(kind).tobytes()] for c, kind in kinds.items()}})
+
+    packed = dealt.drop("parts").groupBy("col_block", "part").applyInPandas(
+        pack, "col_block int, part int, row_block binary, row binary, col binary, w binary")
+    # One more row per block brings its own vectors along.
+    own = base.select(F.col("block").alias("col_block"), F.lit(-1).alias("part")).distinct()
+    return written(packed.unionByName(own, allowMissingColumns=True), "edges")
+
+
+def _products(p: int):
+    """Per packed row and block that its edges reach: the sums of w x vector over the
+    edges of each node (block, source, rows, sums); and each block's own basis."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples():
+                if r.part < 0:
+                    out.append((r.col_block, "", None, None, r.n, r.basis))
+                    continue
+                block, row, col = (np.frombuffer(getattr(r, c), "<i4") for c in ("row_block", "row", "col"))
+                v = np.frombuffer(r.v, "<f8").reshape(-1, p)
+                new = np.flatnonzero(np.concatenate([[True], (np.diff(block) != 0) | (np.diff(row) != 0)]))
+                sums = np.add.reduceat(np.frombuffer(r.w, "<f8")[:, None] * v[col], new, axis=0)
+                block, row = block[new], row[new]
+                cut = np.flatnonzero(np.diff(block, prepend=-1))
+                for lo, hi in zip(cut, np.append(cut[1:], len(block))):
+                    out.append((int(block[lo]), f"{r.col_block}/{r.part}", row[lo:hi].tobytes(), sums[lo:hi].tobytes(), None, None))
+            yield pd.DataFrame(out, columns=["block", "source", "rows", "sums", "n", "basis"])
+
+    return run
+
+
+def _grow(packed: DataFrame, state: DataFrame, p: int, j: int) -> DataFrame:
+    """``state(block, n, v, basis)`` one multiplication on: T_{j+1} as ``v``, and
+    appended to ``basis``, which holds T_0 to T_j of the block's nodes.  Edge blocks meet
+    the vector block that they leave from; what they send to a block is added up there in
+    a fixed order.  ``state`` is read once, so a chain of these stays a chain."""
+    sent = packed.join(state.withColumnRenamed("block", "col_block"), "col_block").mapInPandas(
+        _products(p), "block int, source string, rows binary, sums binary, n int, basis binary")
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        mine = pdf.iloc[0]
+        n = int(mine["n"])
+        basis = np.frombuffer(mine["basis"], "<f8").reshape(n, (j + 1) * p)
+        v = np.zeros((n, p))
+        for r in pdf.iloc[1:].itertuples():
+            v[np.frombuffer(r.rows, "<i4")] += np.frombuffer(r.sums, "<f8").reshape(-1, p)
+        if j:
+            v = 2 * v - basis[:, (j - 1) * p:j * p]
+        return pd.DataFrame({"block": [mine["block"]], "n": [n], "v": [v.tobytes()],
+                             "basis": [np.hstack([basis, v]).tobytes()]})
+
+    return sent.groupBy("block").applyInPandas(gather, _STATE)
+
+
+_STATE = "block int, n int, v binary, basis binary"
 
 
 def spectral_embedding(edges: DataFrame, nodes: DataFrame, k: int, steps: int = 8, tol: float = 1e-4,
-                       max_restarts: int = 100, seed: int = SEED, finish_rows: int = 2048) -> DataFrame:
+                       max_restarts: int = 100, seed: int = SEED) -> DataFrame:
     """(sample_id, features): the k leading eigenvectors of the normalised graph,
     each divided by the square root of the degree.
 
-    ``edges(i, j, w)`` is symmetric.  The vectors live in a table keyed by sample;
-    multiplying by the graph is one join and one aggregate.  Each restart grows a
-    Chebyshev basis (T_{j+1} = 2 A T_j - T_{j-1}) by ``steps`` multiplications; the
-    driver solves only the projected problem, (steps + 1) x (k + 2) wide.  Every node
-    has a loop that brings its own row along, so a restart is one chain of joins, each
-    table read once, and one checkpoint.  A graph of at most ``finish_rows`` nodes is
-    iterated in one task.  An iteration that doesn't reach ``tol`` in ``max_restarts``
-    restarts raises an error.
+    ``edges(i, j, w)`` is symmetric.  The vectors live in a table of blocks of about
+    BLOCK_NODES nodes, the graph in one of packed edges; multiplying is one join of the
+    two and one sum per block, at every size.  Each restart grows a Chebyshev basis
+    (T_{j+1} = 2 A T_j - T_{j-1}) by ``steps`` multiplications and one checkpoint; the
+    driver solves only the projected problem, (steps + 1) x (k + 2) wide.  An iteration
+    that doesn't reach ``tol`` in ``max_restarts`` restarts raises an error.
     """
-    parts = shuffle_width(edges.sparkSession)
-    degree = edges.groupBy(F.col("i").alias("sample_id")).agg(
-        F.sum("w").alias("deg"), F.count(F.lit(1)).alias("n_edges"))
-    keys = F.ceil(F.col("n_edges") / F.lit(EDGES_PER_KEY)).cast("int")
-    base = written(nodes.select("sample_id").join(degree, "sample_id", "left").select(
-        "sample_id", F.coalesce("deg", F.lit(0.0)).alias("deg"), F.coalesce(keys, F.lit(1)).alias("keys")), "nodes")
-    n = base.count()
+    base, n = _numbered(edges, nodes)
     p = min(k + 2, n)
-    if n <= finish_rows:
-        return _embed_in_one_task(edges, base, p, k, steps, tol, max_restarts, seed)
-    root = base.select("sample_id", F.sqrt("deg").alias("r"), "keys")
-    between = edges.join(root.select(F.col("sample_id").alias("i"), F.col("r").alias("ri")), "i").join(
-        root.select(F.col("sample_id").alias("j"), F.col("r").alias("rj"), "keys"), "j").select(
-        "i", "j", F.pmod(F.xxhash64("i"), F.col("keys")).cast("int").alias("salt"),
-        (F.col("w") / (F.col("ri") * F.col("rj"))).alias("w"), F.lit(False).alias("loop"))
-    loops = base.select(F.col("sample_id").alias("i"), F.col("sample_id").alias("j"), F.lit(0).alias("salt"),
-                        F.lit(0.0).alias("w"), F.lit(True).alias("loop"))
-    links = between.unionByName(loops).repartition(parts, "j", "salt").persist()
-
-    def grow(table: DataFrame, j: int) -> DataFrame:
-        """T_{j+1} as ``v``, and appended to ``features``, which holds T_0 to T_j."""
-        spread = table.select(F.col("sample_id").alias("j"), "v", "keys", "features", F.explode(
-            F.sequence(F.lit(0), F.col("keys") - 1)).alias("salt"))
-        own = F.first(F.when(F.col("loop"), F.struct("keys", "features")), ignorenulls=True)
-        product = links.join(spread, ["j", "salt"]).groupBy(F.col("i").alias("sample_id")).agg(
-            F.array(*[F.sum(F.col("w") * F.get("v", F.lit(c))) for c in range(p)]).alias("m"), own.alias("own"))
-        before = F.slice("own.features", (j - 1) * p + 1, p) if j else F.array(*[F.lit(0.0)] * p)
-        v = F.zip_with("m", before, lambda a, b: 2 * a - b) if j else F.col("m")
-        return product.select("sample_id", "own.keys", v.alias("v"), "own.features").select(
-            "sample_id", "keys", "v", F.concat("features", "v").alias("features"))
-
-    state = base.select("sample_id", "keys", F.array(*_start_columns(p, seed)).alias("v"))
+    packed = _packed(edges, base)
+
+    def start(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = matrix(pdf.sort_values("pos")["v"]).astype("<f8")
+        return pd.DataFrame({"block": pdf["block"].iloc[:1], "n": [len(v)], "v": [v.tobytes()], "basis": [v.tobytes()]})
+
+    state = base.select("block", "pos", F.array(*_start_columns(p, seed)).alias("v")).groupBy("block").applyInPandas(
+        start, _STATE)
     for _ in range(max_restarts):
-        table = state.withColumn("features", F.col("v"))
         for j in range(steps + 1):
-            table = grow(table, j)
-        basis = cut_lineage(table.select("sample_id", "keys", "features"))
+            state = _grow(packed, state, p, j)
+        basis = written(state.select("block", "n", "basis"), "basis")
         coef, residual = _ritz(_gram(basis, (steps + 2) * p), p, steps, k)
         state = _combine(basis, coef)
         if residual <= tol:
             break
     else:
         raise RuntimeError(f"eigenvectors have a residual of {residual} after {max_restarts} restarts")
-    links.unpersist()
+    wide = min(k, p)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                v = np.frombuffer(r.v, "<f8").reshape(r.n, p)[:, :wide]
+                yield pd.DataFrame({"block": r.block, "pos": np.arange(r.n), "v": list(v)})
+
+    found = state.select("block", "n", "v").mapInPandas(rows, "block int, pos int, v array<double>")
     size = F.sqrt(F.when(F.col("deg") > 0, F.col("deg")).otherwise(1.0))
-    return state.join(base.select("sample_id", "deg"), "sample_id").select(
-        "sample_id", F.transform(F.slice("v", 1, min(k, p)), lambda x: x / size).alias("features"))
+    return base.join(found, ["block", "pos"]).select("sample_id", F.transform("v", lambda x: x / size).alias("features"))
 
 
 def _gram(basis: DataFrame, width: int) -> np.ndarray:
@@ -256,13 +326,13 @@ def _gram(basis: DataFrame, width: int) -> np.ndarray:
     def partial(batches):
         total = np.zeros((width, width))
         for pdf in batches:
-            if len(pdf):
-                b = matrix(pdf["features"])
+            for r in pdf.itertuples():
+                b = np.frombuffer(r.basis, "<f8").reshape(r.n, width)
                 total += b.T @ b
         i, j = np.triu_indices(width)
         yield pd.DataFrame({"i": i.astype("int32"), "j": j.astype("int32"), "v": total[i, j]})
 
-    rows = sum_partials(basis.select("features"), partial, {"i": "int", "j": "int"}, basis.rdd.getNumPartitions())
+    rows = sum_partials(basis, partial, {"i": "int", "j": "int"}, basis.rdd.getNumPartitions())
     gram = np.zeros((width, width))
     gram[rows["i"], rows["j"]] = rows["v"]
     return gram + np.triu(gram, 1).T
@@ -298,15 +368,17 @@ def _ritz(gram: np.ndarray, p: int, steps: int, k: int) -> tuple[np.ndarray, flo
 
 
 def _combine(basis: DataFrame, coef: np.ndarray) -> DataFrame:
-    @F.pandas_udf("array<double>")
-    def combine(features: pd.Series) -> pd.Series:
-        return pd.Series(list(matrix(features) @ coef))
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            v = [(np.frombuffer(r.basis, "<f8").reshape(r.n, len(coef)) @ coef).tobytes() for r in pdf.itertuples()]
+            yield pd.DataFrame({"block": pdf["block"], "n": pdf["n"], "v": v, "basis": v})
 
-    return basis.select("sample_id", "keys", combine("features").alias("v"))
+    return basis.mapInPandas(combine, _STATE)
 
 
 def spectral(samples: DataFrame, k: int, n_neighbours: int = 10, seed: int = SEED,
-             n_init: int = N_INIT, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """k-means on the spectral embedding of the nearest-neighbour graph."""
-    edges = cut_lineage(knn_affinity(samples, n_neighbours, block_rows))
+             n_init: int = N_INIT, block_rows: int = BLOCK_ROWS, mode: str = "exact") -> DataFrame:
+    """k-means on the spectral embedding of the nearest-neighbour graph; ``mode`` is that
+    of the neighbour search."""
+    edges = written(knn_affinity(samples, n_neighbours, block_rows, mode), "affinity")
     return kmeans(spectral_embedding(edges, samples, k, seed=seed), k, seed, n_init)

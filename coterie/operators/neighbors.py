@@ -7,16 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from coterie.plans.cells import BLOCK_ROWS, Cells, build_cells, matrix, meet, meet_all, visit_cells
+from coterie.plans.cells import BLOCK_ROWS, matrix
+from coterie.plans.tree import CELL, build_tree, column_type, hashed_cells, meet, search
+from coterie.session import written
 
-# Up to this many blocks of points, every block is compared.
-FEW_BLOCKS = 2
 # Candidates measured at a time.
 CHUNK = 1 << 15
-
-
-def _type(df: DataFrame, col: str) -> str:
-    return df.schema[col].dataType.simpleString()
+# Hash tables of the approximate search, and points whose medians cut its cells.
+LSH_TABLES, LSH_SAMPLE = 8, 4096
 
 
 def best_kernel(k: int, ward: bool, skip_self: bool):
@@ -58,89 +56,77 @@ def best_kernel(k: int, ward: bool, skip_self: bool):
     return kernel
 
 
-def _bound(cells: Cells, ward: bool):
-    """Lower bound of the cost between a query and any point of each cell: the
-    bisector between two pivots, and the ball around a pivot."""
-    radius, w_min = cells.stats["radius"].to_numpy(), cells.stats["w_min"].to_numpy()
-    centre = cells.pivots.mean(0)
-    pivots = cells.pivots - centre
-    norms = (pivots**2).sum(1)
-    gaps = np.sqrt(np.maximum(norms[:, None] + norms[None, :] - 2 * pivots @ pivots.T, 0.0))
-    apart = gaps > 1e-5 * np.sqrt(norms.max() + 1e-300)
-
-    def lower(x: np.ndarray, w: np.ndarray, cell: np.ndarray, d2: np.ndarray) -> np.ndarray:
-        # Distances to pivots come from products; ``err`` covers their rounding.
-        err = 1e-11 * (((x - centre) ** 2).sum(1)[:, None] + norms[None, :])
-        own = d2[np.arange(len(cell)), cell][:, None]
-        gap = np.where(apart[cell], gaps[cell], np.inf)
-        bisector = (d2 - own - 2 * err) / (2 * gap * (1 + 1e-5))
-        ball = np.sqrt(np.maximum(d2 - err, 0.0)) - radius[None, :] - np.sqrt(err)
-        low = np.maximum(np.maximum(bisector, ball), 0.0)
-        cost = low**2
-        if ward:
-            cost = cost * (w[:, None] * w_min[None, :] / (w[:, None] + w_min[None, :]))
-        return cost
-
-    return lower
-
-
 def cheapest(queries: DataFrame, points: DataFrame, k: int, ward: bool = False,
-             skip_self: bool = False, block_rows: int = BLOCK_ROWS,
-             n_points: int | None = None, n_queries: int | None = None) -> DataFrame:
+             skip_self: bool = False, block_rows: int = BLOCK_ROWS, n_points: int | None = None) -> DataFrame:
     """(qid, pid, cost, rank): the k points of least cost for each query.
 
     ``queries(qid, features, w)``, ``points(pid, features, w)``.  The cost is the
     squared distance, or with ``ward`` the growth of the within-cluster sum of
-    squares on merging.  Ties go to the smaller ``pid``.
+    squares on merging.  Ties go to the smaller ``pid``.  Exact, see ``plans.tree``.
     """
     n_points = points.count() if n_points is None else n_points
-    kernel = best_kernel(k, ward, skip_self)
-    schema = f"qid {_type(queries, 'qid')}, pid {_type(points, 'pid')}, cost double"
-    order = Window.partitionBy("qid").orderBy("cost", "pid")
+    tree = build_tree(points, n_points, block_rows)
+    return search(tree, queries, k, best_kernel(k, ward, skip_self), ward)
+
 
-    def best(found: DataFrame) -> DataFrame:
-        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+def near_cells(queries: DataFrame, points: DataFrame, k: int, n_points: int, block_rows: int = BLOCK_ROWS,
+               tables: int = LSH_TABLES, seed: int = 42) -> DataFrame:
+    """``cheapest`` by locality-sensitive hashing: (qid, pid, cost, rank) of the k nearest
+    among the points that share a hash cell with the query in one of ``tables`` tables.
 
-    if n_points <= FEW_BLOCKS * block_rows:
-        n_queries = n_points if n_queries is None else n_queries
-        return best(meet_all(points, queries, n_points, n_queries, kernel, schema, block_rows))
-    cells = build_cells(points, n_points, block_rows)
-    located = cells.locate(queries.select("qid", "features", "w")).persist()
-    reached = best(meet(cells, located, kernel, schema, block_rows))
-    bounds = reached.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("bound"))
-    bounded = located.join(bounds, "qid", "left").fillna(float("inf"), ["bound"])
-    visits = visit_cells(cells, bounded, _bound(cells, ward)).persist()
-    return best(meet(cells, visits, kernel, schema, block_rows))
+    A cell is the signs of random projections against the medians of a sample of at most
+    LSH_SAMPLE points; there are enough signs for cells of about ``block_rows`` points, so
+    a query meets tables x block_rows points however many there are.  Costs are exact; a
+    neighbour that never shares a cell is missed.  Queries that found fewer than k are
+    searched exactly.
+    """
+    bits = max(0, int(np.ceil(np.log2(max(1, n_points) / block_rows))))
+    drawn = points.select("features", F.xxhash64("pid", F.lit("sample")).alias("h")).orderBy("h").limit(LSH_SAMPLE)
+    sample = drawn.toPandas()["features"]
+    sample = matrix(sample) if len(sample) else np.zeros((0, 1))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        return hashed_cells(df.select(df.columns[0], "features", "w"), sample, bits, tables if bits else 1, seed)
+
+    inside = written(hashed(points), "hashed-points")
+    sizes = inside.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("pblocks"))
+    inside = inside.join(sizes, CELL).withColumn("pblock", F.pmod(F.xxhash64("pid"), F.col("pblocks")).cast("int"))
+    visits = hashed(queries).join(sizes, CELL)
+    schema = f"qid {column_type(queries, 'qid')}, pid {column_type(points, 'pid')}, cost double"
+    found = meet(inside.drop("pblocks"), visits, best_kernel(k, False, False), schema, block_rows)
+    order = Window.partitionBy("qid").orderBy("cost", "pid")
+    found = written(found.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k), "near-cells")
+    short = queries.join(found.groupBy("qid").count().where(F.col("count") >= min(k, n_points)), "qid", "left_anti")
+    short = written(short.select("qid", "features", "w"), "short")
+    if short.isEmpty():
+        return found
+    exact = cheapest(short, points, k, block_rows=block_rows, n_points=n_points)
+    return found.join(short.select("qid"), "qid", "left_anti").unionByName(exact)
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_ROWS, mode: str = "exact") -> DataFrame:
     """(sample_id, neighbor_id, dist, rank): the k nearest points by Euclidean
     distance, equal distances by smaller ``neighbor_id``; a point is no neighbour
-    of itself.  Exact.
+    of itself.
 
-    Beyond a few blocks of points, equal vectors are searched once and stand for
-    all their samples, so a group of copies costs one row of the search.
+    ``mode`` is ``exact`` or, for many points of so many dimensions that distance bounds
+    rule little out, ``lsh`` (see ``near_cells``).  Equal vectors are searched once and
+    stand for all their samples, so a group of copies costs one row of the search.
     """
-    n_points = points.count()
-    if n_points <= FEW_BLOCKS * block_rows:
-        q = queries.select(F.col("sample_id").alias("qid"), "features", F.lit(1.0).alias("w"))
-        p = points.select(F.col("sample_id").alias("pid"), "features", F.lit(1.0).alias("w"))
-        # One more than k, as a query that is itself a point finds itself.
-        near = cheapest(q, p, k + 1, block_rows=block_rows, n_points=n_points).filter("qid <> pid")
-        again = Window.partitionBy("qid").orderBy("rank")
-        return near.withColumn("rank", F.row_number().over(again)).filter(F.col("rank") <= k).select(
-            F.col("qid").alias("sample_id"), F.col("pid").alias("neighbor_id"), F.sqrt("cost").alias("dist"), "rank")
+    if mode not in ("exact", "lsh"):
+        raise ValueError(f"unknown mode {mode}")
     by_id = Window.partitionBy("features").orderBy("sample_id")
     # k + 1 samples per vector suffice (one may be the query itself); the rank
     # limit also runs before the shuffle, so copies do not pile up in one task.
     few = points.select("sample_id", "features").withColumn(
         "_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
-    vectors = few.groupBy("features").agg(
-        F.min("sample_id").alias("pid"), F.collect_list("sample_id").alias("ids"), F.lit(1.0).alias("w")).persist()
-    asked = queries.select("sample_id", "features").groupBy("features").agg(
-        F.min("sample_id").alias("qid"), F.lit(1.0).alias("w")).persist()
-    near = cheapest(asked.select("qid", "features", "w"), vectors.select("pid", "features", "w"),
-                    k + 1, block_rows=block_rows)
+    vectors = written(few.groupBy("features").agg(
+        F.min("sample_id").alias("pid"), F.collect_list("sample_id").alias("ids"), F.lit(1.0).alias("w")), "vectors")
+    asked = written(queries.select("sample_id", "features").groupBy("features").agg(
+        F.min("sample_id").alias("qid"), F.lit(1.0).alias("w")), "asked")
+    q, p = asked.select("qid", "features", "w"), vectors.select("pid", "features", "w")
+    near = (cheapest(q, p, k + 1, block_rows=block_rows) if mode == "exact" else
+            near_cells(q, p, k + 1, p.count(), block_rows))
     members = near.select("qid", "pid", "cost").join(
         vectors.select("pid", F.explode("ids").alias("neighbor_id")), "pid")
     order = Window.partitionBy("qid").orderBy("cost", "neighbor_id")
@@ -154,13 +140,14 @@ def knn(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_R
         (F.col("pos") + 1).alias("rank"))
 
 
-def knn_affinity(samples: DataFrame, n_neighbours: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_affinity(samples: DataFrame, n_neighbours: int = 10, block_rows: int = BLOCK_ROWS,
+                 mode: str = "exact") -> DataFrame:
     """Symmetric graph (i, j, w) with w = 1/2 for each direction in which one is
     among the other's nearest samples.  ``n_neighbours`` counts the sample itself,
     so the graph has n_neighbours - 1 others; self loops, which do not change the
     normalised graph, are left out."""
     n = samples.count()
-    near = knn(samples, samples, min(n_neighbours, n - 1) - 1, block_rows)
+    near = knn(samples, samples, min(n_neighbours, n - 1) - 1, block_rows, mode)
     i, j = F.col("sample_id").alias("i"), F.col("neighbor_id").alias("j")
     back = near.select(F.col("neighbor_id").alias("i"), F.col("sample_id").alias("j"))
     return near.select(i, j).unionByName(back).groupBy("i", "j").agg(

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coterie.operators import cluster, kmeans as km
 from coterie.operators.cluster import spectral, spectral_embedding, ward
@@ -37,9 +38,9 @@ def test_ward_equals_greedy_merging(spark, seed, k):
 
 
 def test_ward_rounds_equal_greedy_merging(spark):
-    """Merging rounds on Spark, with the neighbour search pruned by cells."""
+    """Merging rounds on Spark, with the neighbour search pruned by a tree of leaves."""
     x = np.random.default_rng(5).normal(size=(40, 3))
-    got = ward(h.to_samples(spark, x), 3, finish_rows=15, block_rows=12)
+    got = ward(h.to_samples(spark, x), 3, top_rows=15, block_rows=12)
     assert (h.vector(got) == h.greedy_ward(x, 3)).all()
 
 
@@ -48,14 +49,15 @@ def test_ward_with_ties_is_the_same_wherever_rounds_run(spark, seed):
     x = np.random.default_rng(seed).integers(0, 4, (24, 2)).astype(float)
     s = h.to_samples(spark, x).persist()
     here = h.vector(ward(s, 3))
-    for finish_rows in (1, 5):
-        assert (h.vector(ward(s, 3, finish_rows=finish_rows, block_rows=64)) == here).all()
+    for top_rows in (1, 5):
+        assert (h.vector(ward(s, 3, top_rows=top_rows, block_rows=64)) == here).all()
+    assert (h.vector(ward(s.repartition(5), 3, top_rows=5, block_rows=4)) == here).all()
 
 
 def test_ward_undoes_costly_merges_of_early_rounds(spark):
     """Two far outliers pair up early, yet their merge is the costliest."""
     x = np.vstack([np.random.default_rng(2).normal(size=(20, 2)), [[1000.0, 0], [2000.0, 0]]])
-    got = ward(h.to_samples(spark, x), 3, finish_rows=12, block_rows=64)
+    got = ward(h.to_samples(spark, x), 3, top_rows=12, block_rows=64)
     assert (h.vector(got) == h.greedy_ward(x, 3)).all()
 
 
@@ -64,10 +66,38 @@ def test_ward_with_copies(spark):
     assert (h.vector(ward(h.to_samples(spark, x), 3)) == h.greedy_ward(x, 3)).all()
 
 
-@pytest.mark.parametrize(("finish_rows", "edges_per_key"), [(2048, cluster.EDGES_PER_KEY), (10, 4)])
-def test_spectral_iteration_matches_dense_eigenvectors(spark, monkeypatch, finish_rows, edges_per_key):
-    """In one task, and on Spark with every node spread over several keys."""
-    monkeypatch.setattr(cluster, "EDGES_PER_KEY", edges_per_key)
+def test_ward_on_texts_as_ids_and_on_few_rows(spark):
+    x, truth = h.blobs(90, 3, 3)
+    named = h.to_samples(spark, x).withColumn("sample_id", F.format_string("s%03d", "sample_id"))
+    assert (h.vector(ward(named, 3)) == h.canonical(truth)).all()
+    assert ward(named.limit(0), 3).count() == 0
+    assert h.vector(ward(named.limit(2), 3)).tolist() == [0, 1]
+    assert h.vector(ward(named, 1)).tolist() == [0] * 90
+    with pytest.raises(ValueError):
+        ward(named, 3, mode="other")
+
+
+def test_ward_from_clustering_features(spark):
+    """Weights and means of a few dozen leaves lead to the planted clusters."""
+    x, truth = h.blobs(600, 4, 4, seed=3)
+    s = h.to_samples(spark, np.vstack([x, np.repeat(x[:1], 300, 0)]))
+    truth = np.append(truth, np.repeat(truth[0], 300))
+    member, summaries = cluster.clustering_features(
+        s.groupBy("features").agg(F.min("sample_id").alias("id"), F.count("*").cast("double").alias("w")), 600, 40)
+    rows = summaries.collect()
+    assert 20 <= len(rows) <= 80 and sum(r.w for r in rows) == 900 and member.count() == 600
+    whole = sum(r.w * np.array(r.features) for r in rows) / 900
+    assert np.allclose(whole, np.vstack([x, np.repeat(x[:1], 300, 0)]).mean(0))
+    assert (h.vector(ward(s, 4, mode="summaries", summaries=100, top_rows=20)) == h.canonical(truth)).all()
+    exact = h.vector(ward(s, 4))
+    assert (h.vector(ward(s, 4, mode="summaries", summaries=5000)) == exact).all()
+
+
+@pytest.mark.parametrize(("nodes", "edges"), [(cluster.BLOCK_NODES, cluster.EDGES_PER_ROW), (7, 10)])
+def test_spectral_iteration_matches_dense_eigenvectors(spark, monkeypatch, nodes, edges):
+    """One block, and many blocks with their edges dealt over several rows."""
+    monkeypatch.setattr(cluster, "BLOCK_NODES", nodes)
+    monkeypatch.setattr(cluster, "EDGES_PER_ROW", edges)
     x, _ = h.blobs(60, 1, 2, spread=2.0)
     s = h.to_samples(spark, x)
     edges = knn_affinity(s).persist()
@@ -77,12 +107,30 @@ def test_spectral_iteration_matches_dense_eigenvectors(spark, monkeypatch, finis
     deg = w.sum(1)
     lam, q = np.linalg.eigh(w / np.sqrt(deg[:, None] * deg[None]))
     want = (q[:, ::-1][:, :3] / np.sqrt(deg)[:, None])
-    got = np.array(h.vector(spectral_embedding(edges, s, 3, finish_rows=finish_rows), "features").tolist())
+    got = np.array(h.vector(spectral_embedding(edges, s, 3), "features").tolist())
     for c in range(3):
         cos = abs(got[:, c] @ want[:, c]) / np.linalg.norm(got[:, c]) / np.linalg.norm(want[:, c])
         assert cos > 0.999
 
 
+def test_spectral_embedding_of_a_star_and_a_lone_node(spark, monkeypatch):
+    """A hub that a third of all edges meet, and a node without any."""
+    monkeypatch.setattr(cluster, "BLOCK_NODES", 8)
+    monkeypatch.setattr(cluster, "EDGES_PER_ROW", 5)
+    links = [(0, i) for i in range(1, 30)] + [(i, i + 1) for i in range(1, 29)]
+    edges = spark.createDataFrame([(a, b, 1.0) for i, j in links for a, b in ((i, j), (j, i))], "i long, j long, w double")
+    s = h.to_samples(spark, np.zeros((31, 1)))
+    got = np.array(h.vector(spectral_embedding(edges, s, 2), "features").tolist())
+    a = np.zeros((31, 31))
+    for i, j in links:
+        a[i, j] = a[j, i] = 1
+    size = np.sqrt(np.where(a.sum(1) > 0, a.sum(1), 1))
+    lam, q = np.linalg.eigh(a / size[:, None] / size[None])
+    want = q[:, ::-1][:, :2] / size[:, None]
+    for c in range(2):
+        assert abs(got[:, c] @ want[:, c]) / np.linalg.norm(got[:, c]) / np.linalg.norm(want[:, c]) > 0.999
+
+
 def test_kmeans_weights_count_as_copies(spark):
     x, _ = h.blobs(30, 2, 3)
     w = np.where(np.arange(30) == 0, 50, 1)

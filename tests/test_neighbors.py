@@ -2,10 +2,12 @@ import numpy as np
 import pytest
 
 from coterie.operators.impute import knn_impute_samples
-from coterie.operators.neighbors import knn, knn_affinity
+from coterie.operators.neighbors import cheapest, knn, knn_affinity
 from coterie.operators.validate import classify_knn
+from coterie.plans import tree
+from coterie.plans.tree import meet
 
-from helpers import blobs, impute, nearest, to_samples, vector, with_copies
+from helpers import blobs, distances, impute, nearest, to_samples, vector, with_copies
 
 
 def found(df, n, k):
@@ -14,9 +16,9 @@ def found(df, n, k):
     return t["neighbor_id"].to_numpy().reshape(n, k)
 
 
-@pytest.mark.parametrize("block_rows", [2048, 16])
+@pytest.mark.parametrize("block_rows", [2048, 50, 16, 3])
 def test_knn_is_exact(spark, block_rows):
-    """One block, and pruned cells split into small blocks."""
+    """One leaf, a few, and many leaves in many branches: the same rows."""
     x, _ = blobs(120)
     s = to_samples(spark, x)
     assert (found(knn(s, s, 4, block_rows), 120, 4) == nearest(x, 4)).all()
@@ -36,6 +38,68 @@ def test_pruning_survives_a_large_offset(spark):
     assert (found(knn(s, s, 3, 8), 100, 3) == want).all()
 
 
+def test_few_leaves_are_visited(spark, monkeypatch):
+    """Points on a plane: the leaves that a query visits hardly grow with the points."""
+    seen = []
+
+    def counted(points, visits, *rest):
+        seen[-1] += visits.count()
+        return meet(points, visits, *rest)
+
+    monkeypatch.setattr(tree, "meet", counted)
+    rng = np.random.default_rng(9)
+    for n in (400, 1600):
+        seen.append(0)
+        x = rng.random((n, 2)) * np.sqrt(n)
+        s = to_samples(spark, x)
+        assert (found(knn(s, s, 3, 16), n, 3) == nearest(x, 3)).all()
+        seen[-1] /= n
+    # 25 and 100 leaves: all of them would be four times as many.
+    assert seen[0] < 12 and seen[1] < 1.5 * seen[0]
+
+
+def test_tree_with_a_crowded_leaf(spark):
+    """Half the points lie far closer together than the blocks can tell apart."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(100, 3)) * 1e-7, rng.normal(size=(100, 3)) * 10])
+    s = to_samples(spark, x)
+    t = knn(s, s, 4, 8).toPandas().sort_values(["sample_id", "rank"])
+    d = np.sort(distances(x), axis=1)[:, 1:5]
+    assert np.allclose(t["dist"].to_numpy().reshape(200, 4), d, rtol=1e-9)
+
+
+def test_cheapest_merge_is_exact(spark):
+    rng = np.random.default_rng(6)
+    x, w = rng.normal(size=(150, 3)) * 4, rng.integers(1, 50, 150).astype(float)
+    rows = spark.createDataFrame([(i, r.tolist(), float(v)) for i, (r, v) in enumerate(zip(x, w))],
+                                 "qid long, features array<double>, w double")
+    cost = distances(x) ** 2 * (w[:, None] * w[None] / (w[:, None] + w[None]))
+    np.fill_diagonal(cost, np.inf)
+    for block_rows in (2048, 6):
+        got = cheapest(rows, rows.withColumnRenamed("qid", "pid"), 2, True, True, block_rows).toPandas()
+        got = got.sort_values(["qid", "rank"])
+        assert (got["pid"].to_numpy().reshape(150, 2) == np.argsort(cost, axis=1)[:, :2]).all()
+
+
+def test_hashed_search_finds_most_neighbours(spark):
+    x, _ = blobs(800, 12, 6, seed=2, spread=1.0)
+    s = to_samples(spark, x)
+    want = nearest(x, 5)
+    got = found(knn(s, s, 5, 40, mode="lsh"), 800, 5)
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(got, want)]) >= 0.9
+    assert (found(knn(s, s, 5, mode="lsh"), 800, 5) == want).all()  # one cell
+    with pytest.raises(ValueError):
+        knn(s, s, 5, mode="other")
+
+
+def test_knn_of_nothing_and_of_one(spark):
+    s = to_samples(spark, np.ones((3, 2)))
+    for mode in ("exact", "lsh"):
+        assert knn(s, s.limit(0), 2, mode=mode).count() == 0
+        assert knn(s.limit(0), s, 2, mode=mode).count() == 0
+        assert sorted((r.sample_id, r.neighbor_id) for r in knn(s, s, 1, mode=mode).collect()) == [(0, 1), (1, 0), (2, 0)]
+
+
 def test_affinity_is_symmetric_and_counts_directions(spark):
     x, _ = blobs(60)
     w = np.zeros((60, 60))
