@@ -25,7 +25,7 @@ from coterie.session import cut_lineage, written
 # --- Ward -----------------------------------------------------------------
 
 #: The top of the merge tree: this many cluster summaries are merged on the driver.
-TOP_ROWS = 64
+TOP_ROWS = 512
 #: Clustering features of the approximate mode.
 SUMMARIES = 1024
 

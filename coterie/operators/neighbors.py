@@ -122,8 +122,11 @@ def knn(queries: DataFrame, points: DataFrame, k: int, block_rows: int = BLOCK_R
         "_n", F.row_number().over(by_id)).filter(F.col("_n") <= k + 1)
     vectors = written(few.groupBy("features").agg(
         F.min("sample_id").alias("pid"), F.collect_list("sample_id").alias("ids"), F.lit(1.0).alias("w")), "vectors")
-    asked = written(queries.select("sample_id", "features").groupBy("features").agg(
-        F.min("sample_id").alias("qid"), F.lit(1.0).alias("w")), "asked")
+    if queries is points:
+        asked = vectors.select("features", F.col("pid").alias("qid"), "w")
+    else:
+        asked = written(queries.select("sample_id", "features").groupBy("features").agg(
+            F.min("sample_id").alias("qid"), F.lit(1.0).alias("w")), "asked")
     q, p = asked.select("qid", "features", "w"), vectors.select("pid", "features", "w")
     near = (cheapest(q, p, k + 1, block_rows=block_rows) if mode == "exact" else
             near_cells(q, p, k + 1, p.count(), block_rows))

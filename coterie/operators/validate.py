@@ -6,13 +6,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coterie.operators.cluster import spectral, ward
 from coterie.operators.consensus import fuzzy_ensemble, hard_ensemble
+from coterie.operators.forest import random_forest
 from coterie.operators.fuzzy import fuzzy_cmeans
 from coterie.operators.kmeans import N_INIT, SEED, kmeans, kmeans_sweep
 from coterie.operators.labels import canonical, defuzzify
@@ -86,11 +87,10 @@ def _vectors(samples: DataFrame) -> DataFrame:
 
 
 def classify_rf(train: DataFrame, test: DataFrame, seed: int = SEED, n_trees: int = 100) -> DataFrame:
-    """(sample_id, cluster, predicted) by random forest: square root of the
-    features per split, depth up to Spark's limit of 30."""
-    forest = RandomForestClassifier(numTrees=n_trees, maxDepth=30, featureSubsetStrategy="sqrt", seed=seed,
-                                    maxMemoryInMB=1024)
-    return _predicted(forest.fit(_vectors(train).persist()).transform(_vectors(test)))
+    """(sample_id, cluster, predicted) by random forest (see ``forest``): square root of
+    the features per split, depth up to 30, the same for any partitioning."""
+    return random_forest(train, n_trees, seed).predict(test).select(
+        "sample_id", F.col("cluster").cast("int").alias("cluster"), "predicted")
 
 
 def _predicted(df: DataFrame) -> DataFrame:

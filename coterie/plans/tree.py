@@ -31,6 +31,8 @@ from coterie.session import written
 NEXT_LEAVES = 4
 #: Blocks of points or queries that one task assigns to leaves.
 ASSIGNED_BLOCKS = 16
+#: Blocks of queries that meet the points of a tree of one leaf.
+QUERY_BLOCKS = 8
 
 CELL = ["branch", "leaf"]
 
@@ -101,8 +103,7 @@ def build_tree(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS) -
     """A tree over ``points(pid, features, w)``."""
     n_leaves = max(1, -(-n_points // block_rows))
     if n_leaves == 1:
-        only = points.select("pid", "features", "w", *(F.lit(0).alias(c) for c in (*CELL, "pblock")))
-        return Tree(only, np.zeros((1, 1)), np.zeros(1), np.zeros(1), points.limit(0), 1, block_rows)
+        return Tree(points, np.zeros((1, 1)), np.zeros(1), np.zeros(1), points, 1, block_rows)
     n_branches = int(np.ceil(np.sqrt(n_leaves)))
     drawn = points.select("features", F.xxhash64("pid").alias("h")).orderBy("h").limit(n_branches)
     top = matrix(drawn.toPandas()["features"])
@@ -195,10 +196,6 @@ def _visits(tree: Tree, queries: DataFrame, ward: bool, home_only: bool) -> Data
     of the nearest branch, else every other leaf whose lower bound ``low`` does not
     exceed the query's ``bound``."""
     schema = f"qid {column_type(queries, 'qid')}, features array<double>, w double, branch int, leaf int, pblocks int, low double"
-    if tree.n_leaves == 1:
-        rows = queries.select("qid", "features", "w", F.lit(0).alias("branch"), F.lit(0).alias("leaf"))
-        pblocks = F.lit(1)
-        return rows.select("*", pblocks.alias("pblocks"), F.lit(0.0).alias("low"))
     top, radius, w_min, block_rows = tree.top, tree.radius, tree.w_min, tree.block_rows
     if home_only:
         full = np.isfinite(radius)
@@ -261,10 +258,9 @@ def search(tree: Tree, queries: DataFrame, k: int, kernel: Callable, ward: bool
     def found_in(visits: DataFrame) -> DataFrame:
         return meet(tree.points, visits, kernel, schema, tree.block_rows)
 
-    home = _visits(tree, queries.select("qid", "features", "w"), ward, home_only=True)
     if tree.n_leaves == 1:
-        return best(found_in(home))
-    home = written(home, "home-leaves")
+        return _one_leaf(tree, queries, k, kernel, schema)
+    home = written(_visits(tree, queries.select("qid", "features", "w"), ward, home_only=True), "home-leaves")
     reached = written(best(found_in(home)).drop("rank"), "reached")
     at_home = home.select("qid", "features", "w", F.col("branch").alias("home_branch"), F.col("leaf").alias("home_leaf"))
     visits = written(_visits(tree, _bounded(at_home, reached, k), ward, home_only=False), "visits")
@@ -276,6 +272,20 @@ def search(tree: Tree, queries: DataFrame, k: int, kernel: Callable, ward: bool
     return best(reached.unionByName(found_in(rest)))
 
 
+def _one_leaf(tree: Tree, queries: DataFrame, k: int, kernel: Callable, schema: str) -> DataFrame:
+    """The search where all points are one block: it goes to every block of queries."""
+    blocks = QUERY_BLOCKS
+    pts = tree.points.select(F.col("pid").alias("pid"), F.col("features").alias("features"), F.col("w").alias("w"),
+                             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("qblock"))
+    qs = queries.select("qid", "features", "w", F.pmod(F.xxhash64("qid", F.lit(7)), F.lit(blocks)).cast("int").alias("qblock"))
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = kernel(a, b)
+        return found.assign(rank=found.groupby("qid", sort=False).cumcount() + 1)
+
+    return pts.groupBy("qblock").cogroup(qs.groupBy("qblock")).applyInPandas(run, f"{schema}, rank int")
+
+
 def _bounded(queries: DataFrame, reached: DataFrame, k: int) -> DataFrame:
     """With ``bound``, the k-th cost reached so far."""
     cost = reached.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("bound"))
