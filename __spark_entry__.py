@@ -432,6 +432,15 @@ def _through_files(spark, out: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: spark.read.schema(df.schema).parquet(f"{path}/{name}") for name, df in out.items()}
 
 
+def q_knn_hashed(spark, sf):
+    """Neighbours by hashing: the share of the exact ones that it finds, over all samples."""
+    x = plain(samples_x(spark, sf))
+    near = neighbors.knn(x, x, 5, block_rows=256, mode="lsh").select("sample_id", "neighbor_id", F.lit(1).alias("found"))
+    exact = neighbors.knn(x, x, 5).select("sample_id", "neighbor_id")
+    share = exact.join(near, ["sample_id", "neighbor_id"], "left").agg(F.count(F.lit(1)).alias("n"), F.count("found").alias("found"))
+    return share.select("n", (F.col("found") >= 0.5 * F.col("n")).alias("at_least_half"))
+
+
 # --- planted clusters: three shifts that every method must find ---------------
 
 
@@ -561,6 +570,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "align_labels": q_align_labels,
         "coassociation_pairs": q_coassociation_pairs,
         "knn": lambda s, d: rounded(neighbors.knn(plain(samples_x(s, d)), plain(samples_x(s, d)), 5), "dist"),
+        "knn_hashed": q_knn_hashed,
         # aggregations
         "dedup_mean": lambda s, d: rounded(ids.dedup_mean(expr3(s, d)), "value"),
         "dedup_report": lambda s, d: ids.dedup_report(expr3(s, d)),
@@ -613,6 +623,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "silhouette_samples": lambda s, d: rounded(
             metrics.silhouette_samples(plain(samples_x(s, d)), labels_x(s, d)), "silhouette"),
         "silhouette": lambda s, d: rounded(metrics.silhouette(plain(samples_x(s, d)), labels_x(s, d)), "silhouette"),
+        "silhouette_samples_sqeuclidean": lambda s, d: rounded(metrics.silhouette_samples(
+            plain(samples_x(s, d)), labels_x(s, d), metric="sqeuclidean"), "silhouette"),
+        "silhouette_sqeuclidean": lambda s, d: rounded(metrics.silhouette(
+            plain(samples_x(s, d)), base_labels(s, d), metric="sqeuclidean"), "silhouette"),
         "davies_bouldin": lambda s, d: rounded(
             metrics.davies_bouldin(plain(samples_x(s, d)), labels_x(s, d)), "davies_bouldin"),
         "adjusted_rand": lambda s, d: rounded(metrics.adjusted_rand(y_of(s, d), labels_x(s, d)), "ari"),
@@ -633,6 +647,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # planted clusters
         "planted_kmeans": q_planted(lambda x, k: kmeans.kmeans(x, k, n_init=N_STARTS)),
         "planted_ward": q_planted(cluster.ward),
+        "planted_ward_summaries": q_planted(lambda x, k: cluster.ward(x, k, mode="summaries", summaries=200)),
         "planted_spectral": q_planted(lambda x, k: cluster.spectral(x, k, n_init=N_STARTS)),
         "planted_fuzzy_cmeans": q_planted(lambda x, k: labels.canonical(labels.defuzzify(
             fuzzy.fuzzy_cmeans(x, k).memberships(x)))),

@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.functions.columns import squared_distance
 from coterie.plans.blocks import BLOCK_ROWS, block_pairs
 from coterie.plans.cells import matrix
+from coterie.session import written
 
 
 def _with_run(labels: DataFrame) -> tuple[DataFrame, bool]:
@@ -41,8 +44,8 @@ def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
     if not len(a) or not len(b):
         return pd.DataFrame({c: [] for c in cols})
     dist = _distances(matrix(a["features"]), matrix(b["features"]))
-    if same:  # both sides hold the same rows, in any order
-        dist[np.array(a["sample_id"].tolist())[:, None] == np.array(b["sample_id"].tolist())[None, :]] = 0.0
+    if same:
+        np.fill_diagonal(dist, 0.0)
     sides = [(a, b, dist)] if same else [(a, b, dist), (b, a, dist.T)]
     out = []
     for mine, theirs, d in sides:
@@ -57,24 +60,49 @@ def _cluster_sums(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
     return pd.concat(out)[cols]
 
 
-def silhouette_samples(samples: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """([run,] sample_id, cluster, silhouette): (b - a) / max(a, b) with Euclidean
-    distances; 0 for a sample alone in its cluster.  NULL with one cluster, or
-    with as many clusters as samples.
+def _linear_sums(rows: DataFrame) -> DataFrame:
+    """The same sums of squared distances from one pass over the rows: those to a cluster
+    of n rows, mean c and sum of squares q around it are n x d(c)^2 + q."""
+    each = rows.select("sample_id", "features", F.posexplode("clusters").alias("run_at", "own"))
+    summary = Summarizer.metrics("mean", "variance", "count").summary(array_to_vector("features"))
+    stats = each.groupBy("run_at", F.col("own").alias("cluster")).agg(summary.alias("s")).select(
+        "run_at", F.struct("cluster", F.col("s.count").alias("n"), vector_to_array("s.mean").alias("centre"), (F.aggregate(
+            vector_to_array("s.variance"), F.lit(0.0), lambda t, v: t + v) * (F.col("s.count") - 1)).alias("q")).alias("c"))
+    # One row per run, of one entry per cluster.
+    stats = written(stats.groupBy("run_at").agg(F.collect_list("c").alias("stats")), "cluster-stats")
+    meets = each.join(F.broadcast(stats), "run_at").withColumn("c", F.explode("stats"))
+    s = F.col("c.n") * squared_distance(F.col("features"), F.col("c.centre")) + F.col("c.q")
+    return meets.select("sample_id", "run_at", "own", F.col("c.cluster").alias("cluster"), s.alias("s"))
 
-    Exact, and quadratic by definition: blocks of rows meet in pairs, and only
-    sums per sample and cluster leave a task.
+
+METRICS = ("euclidean", "sqeuclidean")
+
+
+def silhouette_samples(samples: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS,
+                       metric: str = "euclidean") -> DataFrame:
+    """([run,] sample_id, cluster, silhouette): (b - a) / max(a, b) over mean distances;
+    0 for a sample alone in its cluster.  NULL with one cluster, or with as many clusters
+    as samples.
+
+    Exact.  With Euclidean distances it is quadratic by definition: blocks of rows meet
+    in pairs, and only sums per sample and cluster leave a task.  With ``sqeuclidean``
+    (squared distances) it takes one pass and the clusters' means, linear in samples.
     """
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
     lab, many = _with_run(labels)
     packed = lab.groupBy("sample_id").agg(
         F.array_sort(F.collect_list(F.struct("run", "cluster"))).alias("_l"))
-    rows = samples.select("sample_id", "features").join(packed, "sample_id").select(
-        "sample_id", "features", F.transform("_l", lambda x: x["cluster"].cast("int")).alias("clusters")).persist()
-    n = rows.count()
-    sid = rows.schema["sample_id"].dataType.simpleString()
-    sums = block_pairs(rows, n, "sample_id", _cluster_sums,
-                       f"sample_id {sid}, run_at int, own int, cluster int, s double", block_rows,
-                       min_blocks=max(1, min(6, n // 128)))
+    rows = written(samples.select("sample_id", "features").join(packed, "sample_id").select(
+        "sample_id", "features", F.transform("_l", lambda x: x["cluster"].cast("int")).alias("clusters")), "labelled")
+    if metric == "sqeuclidean":
+        sums = _linear_sums(rows)
+    else:
+        size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("d")).first()
+        sid = rows.schema["sample_id"].dataType.simpleString()
+        sums = block_pairs(rows, size.n, 8 * (size.d or 1), "sample_id", _cluster_sums,
+                           f"sample_id {sid}, run_at int, own int, cluster int, s double", block_rows,
+                           min_sides=max(1, min(6, size.n // 128)))
     sums = sums.groupBy("sample_id", "run_at", "own", "cluster").agg(F.sum("s").alias("s"))
     sizes = lab.groupBy("run", "cluster").agg(F.count(F.lit(1)).alias("n"))
     # One row per run and cluster: number the runs as the packed arrays do.
@@ -95,9 +123,10 @@ def silhouette_samples(samples: DataFrame, labels: DataFrame, block_rows: int =
     return score.select(*(["run"] if many else []), "sample_id", "cluster", "silhouette")
 
 
-def silhouette(samples: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def silhouette(samples: DataFrame, labels: DataFrame, block_rows: int = BLOCK_ROWS,
+               metric: str = "euclidean") -> DataFrame:
     """Mean silhouette, one row (per run)."""
-    each = silhouette_samples(samples, labels, block_rows)
+    each = silhouette_samples(samples, labels, block_rows, metric)
     return each.groupBy(*[c for c in each.columns if c == "run"]).agg(F.avg("silhouette").alias("silhouette"))
 
 
@@ -147,9 +176,10 @@ def adjusted_rand(y: DataFrame, labels: DataFrame) -> DataFrame:
     return out if many else out.drop("run")
 
 
-def evaluate(samples: DataFrame, labels: DataFrame, y: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def evaluate(samples: DataFrame, labels: DataFrame, y: DataFrame, block_rows: int = BLOCK_ROWS,
+             metric: str = "euclidean") -> DataFrame:
     """One row (per run): silhouette, davies_bouldin, ari."""
     lab, many = _with_run(labels)
-    out = silhouette(samples, lab, block_rows).join(davies_bouldin(samples, lab), "run").join(
+    out = silhouette(samples, lab, block_rows, metric).join(davies_bouldin(samples, lab), "run").join(
         adjusted_rand(y, lab), "run")
     return out if many else out.drop("run")

@@ -37,15 +37,15 @@ def choose_k(scores: DataFrame) -> DataFrame:
 
 
 def score_k(samples: DataFrame, k_min: int = 2, k_max: int = 4, seed: int = SEED,
-            n_init: int = N_INIT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            n_init: int = N_INIT, block_rows: int = BLOCK_ROWS, metric: str = "euclidean") -> DataFrame:
     """(k, silhouette) of k-means for each k; distances are measured once for all."""
     runs = cut_lineage(kmeans_sweep(samples, list(range(k_min, k_max + 1)), seed, n_init))
-    return silhouette(samples, runs, block_rows).withColumnRenamed("run", "k")
+    return silhouette(samples, runs, block_rows, metric).withColumnRenamed("run", "k")
 
 
 def find_best_k(samples: DataFrame, k_min: int = 2, k_max: int = 4, seed: int = SEED,
-                n_init: int = N_INIT, block_rows: int = BLOCK_ROWS) -> int:
-    return choose_k(score_k(samples, k_min, k_max, seed, n_init, block_rows)).first().k
+                n_init: int = N_INIT, block_rows: int = BLOCK_ROWS, metric: str = "euclidean") -> int:
+    return choose_k(score_k(samples, k_min, k_max, seed, n_init, block_rows, metric)).first().k
 
 
 def train_test_split(samples: DataFrame, test_size: float = TEST_SIZE, seed: int = SEED,

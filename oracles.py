@@ -52,6 +52,7 @@ ab AS (SELECT ms.run, sample_id, own AS cluster, max(CASE WHEN own = c THEN n EN
   FROM ms JOIN sz ON sz.run = ms.run AND sz.cluster = c GROUP BY ALL),
 sil AS (SELECT run, sample_id, cluster,
   CASE WHEN n = 1 THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)"""
+SQSIL = SIL.replace("sqrt(sum((a.value - b.value) ^ 2)) AS d", "sum((a.value - b.value) ^ 2) AS d")
 DB = """cen AS (SELECT run, cluster, gene, avg(value) AS c FROM x JOIN lab USING (sample_id) GROUP BY ALL),
 sp AS (SELECT run, cluster, avg(d) AS s FROM (SELECT lab.run, lab.cluster, x.sample_id, sqrt(sum((value - c) ^ 2)) AS d
   FROM x JOIN lab USING (sample_id) JOIN cen ON cen.run = lab.run AND cen.cluster = lab.cluster AND cen.gene = x.gene
@@ -283,6 +284,9 @@ def statements() -> dict[str, str]:
             SELECT sig_i, sig_j, {r('CASE WHEN lo < 1 THEN (co - lo) / (1 - lo) ELSE 0 END')} AS co FROM co JOIN lo USING (sig_j) WHERE co > 0""",
         "silhouette_samples": f"WITH {X}, {LAB1}, {SIL} SELECT sample_id, cluster, {r('silhouette')} AS silhouette FROM sil",
         "silhouette": f"WITH {X}, {LAB1}, {SIL} SELECT {r('avg(silhouette)')} AS silhouette FROM sil",
+        "silhouette_samples_sqeuclidean": f"WITH {X}, {LAB1}, {SQSIL} SELECT sample_id, cluster, {r('silhouette')} AS silhouette FROM sil",
+        "silhouette_sqeuclidean": f"WITH {X}, {LAB}, {SQSIL} SELECT run, {r('avg(silhouette)')} AS silhouette FROM sil GROUP BY run",
+        "knn_hashed": "SELECT 5 * count(*) AS n, true AS at_least_half FROM embeddings",
         "davies_bouldin": f"WITH {X}, {LAB1}, {DB} SELECT {r('davies_bouldin')} AS davies_bouldin FROM db",
         "adjusted_rand": f"WITH {LAB1}, {ARI} SELECT {r('ari')} AS ari FROM ari",
         "evaluate": f"""WITH {X}, {LAB}, {SIL}, {DB}, {ARI} SELECT run, {r('avg(silhouette)')} AS silhouette,
@@ -291,7 +295,7 @@ def statements() -> dict[str, str]:
         "choose_k": f"""WITH {X}, {KLAB}, {SIL}, s AS (SELECT run AS k, avg(silhouette) AS silhouette FROM sil GROUP BY 1)
             SELECT k, {r('silhouette')} AS silhouette FROM s ORDER BY silhouette DESC, k LIMIT 1""",
         **{f"planted_{m}": f"WITH {PLANTED} SELECT sample_id, cluster FROM pl" for m in (
-            "kmeans", "ward", "spectral", "fuzzy_cmeans", "hard_ensemble", "fuzzy_ensemble")},
+            "kmeans", "ward", "ward_summaries", "spectral", "fuzzy_cmeans", "hard_ensemble", "fuzzy_ensemble")},
         **{f"planted_classify_{m}": f"""WITH {SPLIT}, {PLANTED} SELECT sample_id, CAST(y AS INTEGER) AS cluster,
             CAST(y AS INTEGER) AS predicted FROM pl JOIN sp USING (sample_id) WHERE is_test""" for m in ("rf", "svm")},
         "planted_ablation": """SELECT CAST(ord AS INTEGER) AS ord, method, 1.0 AS ari FROM (VALUES (0, 'KMeans'),

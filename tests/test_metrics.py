@@ -1,10 +1,12 @@
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from coterie.operators.figures import cluster_ranks, silhouette_histogram
 from coterie.operators.metrics import adjusted_rand, davies_bouldin, evaluate, silhouette, silhouette_samples
 from coterie.operators.validate import choose_k, train_test_split
+from coterie.plans import blocks
 
 import helpers as h
 
@@ -17,6 +19,29 @@ def test_silhouette_over_many_blocks(spark):
     assert np.allclose(h.vector(got, "silhouette"), h.silhouettes(x, labels))
 
 
+def test_linear_silhouette_equals_pairs(spark):
+    x, truth = h.blobs(80, 3, 4, spread=4.0)
+    x = np.vstack([x, np.repeat(x[:1], 40, 0)]) + 1e4
+    labels = np.append(truth, np.repeat(truth[0], 40))
+    labels[7] = 9  # alone in its cluster
+    got = silhouette_samples(h.to_samples(spark, x), h.to_labels(spark, labels), metric="sqeuclidean")
+    d = h.distances(x) ** 2
+    want = []
+    for i, c in enumerate(labels):
+        means = {o: d[i, labels == o].sum() / max(1, (labels == o).sum() - (o == c)) for o in np.unique(labels)}
+        b = min(v for o, v in means.items() if o != c)
+        want.append(0.0 if (labels == c).sum() == 1 else (b - means[c]) / max(b, means[c]))
+    assert np.allclose(h.vector(got, "silhouette"), want, atol=1e-6)
+    with pytest.raises(ValueError):
+        silhouette_samples(h.to_samples(spark, x), h.to_labels(spark, labels), metric="cosine")
+
+
+def test_rows_are_sent_a_square_root_of_the_blocks_times(monkeypatch):
+    assert [blocks.n_sides(n * 2048, 400) for n in (1, 4, 100, 2500)] == [1, 2, 10, 50]
+    monkeypatch.setattr(blocks, "SIDE_BYTES", 1 << 20)
+    assert blocks.n_sides(100 * 2048, 400) == 79  # a side must fit in memory
+
+
 def test_silhouette_of_copies(spark):
     x = h.with_copies(60) + 1e5
     labels = np.arange(60) % 2
