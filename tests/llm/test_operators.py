@@ -262,6 +262,14 @@ def removed_of(texts, window):
     return out
 
 
+def test_grown_factors():
+    """Pieces of four-word windows: the second follows the first in its reference, the
+    third is another reference, the fourth skips a window, the fifth is another text."""
+    rows = [(0, 0, 6, 9, 10), (0, 3, 8, 9, 13), (0, 5, 9, 8, 5), (0, 7, 12, 8, 7), (1, 9, 14, 8, 9)]
+    got = substrings.grown_factors(4, *map(np.array, zip(*reversed(rows))))
+    assert list(zip(*(a.tolist() for a in got))) == [(0, 0, 8, 9, 10), (0, 5, 9, 8, 5), (0, 7, 12, 8, 7), (1, 9, 14, 8, 9)]
+
+
 @pytest.mark.parametrize("window", [20, 9])
 def test_substrings(spark, window):
     rng = np.random.default_rng(6)
@@ -281,8 +289,23 @@ def test_substrings(spark, window):
     out = substrings.remove_duplicate_spans(docs_of(spark, texts), window)
     got = sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out.collect()), key=str)
     assert got == sorted(removed_of(texts, window), key=str)
+    texts_of = defaultdict(list)
+    for i, t in texts:
+        texts_of[i].append(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    grown = 0
     for r in out.collect():
         assert sum(s.end - s.begin for s in r.spans) == r.n_removed
+        # The factors cover what went, and each stands in its reference, which is earlier.
+        own = re.findall(r"[^\x20\x09-\x0D]+", r.text or "")
+        assert {k for f in r.factors for k in range(f.begin, f.end)} == {k for s in r.spans for k in range(s.begin, s.end)}
+        for f in r.factors:
+            assert f.end - f.begin >= window and (f.ref_doc, f.ref_begin) < (r.doc_id, f.begin)
+            assert any(ref[f.ref_begin:f.ref_begin + f.end - f.begin] == own[f.begin:f.end] for ref in texts_of[f.ref_doc])
+            grown += f.end - f.begin > 2 * window
+        # No factor goes on in the next one's reference.
+        for a, b in zip(r.factors, r.factors[1:]):
+            assert (a.ref_doc, a.ref_begin - a.begin) != (b.ref_doc, b.ref_begin - b.begin) or b.begin > a.end - window + 1
+    assert grown
     assert substrings.remove_duplicate_spans(docs_of(spark, texts).limit(0)).count() == 0
 
 
