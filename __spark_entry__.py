@@ -21,7 +21,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from coterie.operators import (  # noqa: E402
     cluster, consensus, features, figures, fuzzy, ids, impute, kmeans, labels, metrics, neighbors, qc, validate,
 )
-from coterie.plans import jobs  # noqa: E402
+from coterie.plans import jobs, loaders  # noqa: E402
 from coterie.session import cut_lineage, scratch_path, written  # noqa: E402
 from coterie.sources import catalog, mappings, matrix, series, sinks  # noqa: E402
 
@@ -278,6 +278,72 @@ def q_load_report(spark, sf):
     return report.join(sizes, "dataset", "left").select("dataset", "loaded", F.coalesce("n_cells", F.lit(0)).alias("n_cells"))
 
 
+def a_series(spark, sf):
+    """A series whose sample tables hold no numbers, with candidate files made from whole
+    tables: of those that may be tried, in order, one is not there, one is text, one has
+    too few rows, and the fourth is a matrix with a text column and IDs of genes."""
+    folder = scratch_path(spark, "series")
+    x = samples_x(spark, sf)
+    n = x.select(F.size("features").alias("d")).first().d
+    cells = [F.col("features")[i].cast("string").alias(f"s{i:02d}") for i in range(n)]
+    wide = x.orderBy("sample_id").select(ensembl_id("sample_id").alias("ID"), *cells, F.lit("text").alias("note"))
+    regions = table(spark, sf, "region").select("r_regionkey", F.col("r_regionkey").alias("a"), F.col("r_regionkey").alias("b"))
+    texts = table(spark, sf, "supplier").select("s_name", F.col("s_name").alias("x"), F.col("s_name").alias("y"))
+    for name, df in (("texts_matrix.txt", texts), ("few_matrix.txt", regions), ("good.txt", wide)):
+        df.coalesce(1).write.option("header", True).option("sep", "\t").csv(f"{folder}/{name}")
+    here = {f"https://h/{name}": f"{folder}/{name}" for name in ("texts_matrix.txt", "few_matrix.txt", "good.txt")}
+    urls = ["https://h/good.txt", "https://h/gone_matrix.txt", "https://h/readme.txt", "none", "https://h/texts_matrix.txt",
+            "https://h/few_matrix.txt", "https://h/never.txt"]
+    listed = spark.createDataFrame([(u, "metadata", i) for i, u in enumerate(urls)], "url string, source string, ord int")
+    events = table(spark, sf, "events").select(
+        F.col("user_id").alias("sample_id"), F.col("event_type").alias("ID_REF"), F.col("props").alias("note"))
+    c = table(spark, sf, "customer")
+    meta = c.select(F.format_string("s%02d", "c_custkey").alias("sample_id"), F.array("c_mktsegment").alias("characteristics"),
+                    F.array().cast("array<string>").alias("source_name"), F.array("c_name").alias("title"))
+    return loaders.Series("S1", [events], listed, meta, annotation(spark, sf), here.get)
+
+
+def gene_symbols(spark, sf):
+    """Every gene ID that ends in the key of a part: the part's name, a probe of ``annotation``."""
+    return table(spark, sf, "part").filter("p_type <> 'ECONOMY'").select(
+        ensembl_id("p_partkey").alias("id"), F.col("p_name").alias("symbol"))
+
+
+def q_load_series(spark, sf):
+    expr, _, _ = loaders.load_series(spark, a_series(spark, sf), gene_symbols(spark, sf))
+    return rounded(expr, "value")
+
+
+def q_load_series_labels(spark, sf):
+    _, y, _ = loaders.load_series(spark, a_series(spark, sf), gene_symbols(spark, sf))
+    return y.select("sample_id", "label", "y")
+
+
+def q_load_series_trace(spark, sf):
+    _, _, trace = loaders.load_series(spark, a_series(spark, sf), gene_symbols(spark, sf))
+    return trace.select("ord", "source", "name", "used", "outcome")
+
+
+def labelled(spark, sf):
+    """Vectors as rows and dimensions as columns, and labels by vector: the vectors are the
+    longer side, so they are the genes and the dimensions the samples."""
+    rows = long_x(spark, sf)
+    cells = rows.select(F.col("sample_id").alias("row"), F.col("sample_id").alias("row_ord"), F.format_string("d%02d", "gene").alias("col"),
+                        F.col("gene").alias("col_ord"), "value")
+    empty = rows.where("gene = 0").select(F.col("sample_id").alias("row"), F.col("sample_id").alias("row_ord"),
+                                          F.lit("zz").alias("col"), F.lit(999).alias("col_ord"), F.lit(None).cast("double").alias("value"))
+    symbols = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_name").alias("symbol"), F.col("s_suppkey").alias("ord"))
+    names = rows.select("gene").distinct().select(F.format_string("d%02d", "gene").alias("sample_id"),
+                                                  (F.col("gene") % 7).alias("label"), (-F.col("gene")).alias("ord"))
+    return cells.unionByName(empty), names, symbols
+
+
+def q_load_labelled(spark, sf):
+    expr, y = loaders.load_labelled(*labelled(spark, sf))
+    return rounded(expr.join(y, "sample_id"), "value")
+
+
 def q_map_by_position(spark, sf):
     cells = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("sample_id"), F.col("l_partkey").alias("ord"), F.col("l_extendedprice").alias("value"),
@@ -394,6 +460,19 @@ def q_pca(spark, sf):
         (F.round(F.avg("x"), 6) + 0.0).alias("mean"), F.round(F.var_samp("x"), 6).alias("variance"))
 
 
+def q_pca_all(spark, sf):
+    """All components: means, total variance and the largest covariance between two."""
+    x = samples_x(spark, sf)
+    n = x.select(F.size("features").alias("d")).first().d
+    scores = written(features.pca(x, n).select("sample_id", F.posexplode("features").alias("component", "x")))
+    each = scores.groupBy("component").agg(F.avg("x").alias("mean"), F.var_samp("x").alias("variance"))
+    pairs = scores.alias("a").join(scores.alias("b"), "sample_id").where("a.component < b.component").groupBy(
+        F.col("a.component").alias("i"), F.col("b.component").alias("j")).agg(F.covar_samp("a.x", "b.x").alias("c"))
+    worst = pairs.agg(F.round(F.max(F.abs("c")), 6) + 0.0).scalar()
+    return each.agg(F.count(F.lit(1)).alias("n"), (F.round(F.max(F.abs("mean")), 6) + 0.0).alias("mean"),
+                    F.round(F.sum("variance"), 6).alias("variance")).withColumn("covariance", worst)
+
+
 def q_fuzzy_cmeans(spark, sf):
     x = samples_x(spark, sf)
     fit = fuzzy.fuzzy_cmeans(x, 3)
@@ -466,6 +545,12 @@ def q_planted_classify(method):
     return run
 
 
+def q_planted_classifier_test(spark, sf):
+    x = planted_x(spark, sf)
+    found = x.select("sample_id", F.col("y").cast("int").alias("cluster"))
+    return validate.classifier_test(plain(x), found).select("model", "accuracy", "n_correct", "n_test")
+
+
 def q_planted_ablation(spark, sf):
     x = planted_x(spark, sf)
     scores = validate.ablation(plain(x), 3, x.select("sample_id", "y"), n_init=N_STARTS)
@@ -536,6 +621,10 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "extract_file_links": q_extract_file_links,
         "load_datasets": q_load_datasets,
         "load_report": q_load_report,
+        "load_series": q_load_series,
+        "load_series_labels": q_load_series_labels,
+        "load_series_trace": q_load_series_trace,
+        "load_labelled": q_load_labelled,
         "write_result": q_write_result,
         # projections and filters
         "qc_filter": lambda s, d: rounded(qc.qc_filter(expr3(s, d)), "value"),
@@ -604,6 +693,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             ["p_size", "p_retailprice", "flat"]), "p_size", "p_retailprice", "flat"),
         "preprocess": lambda s, d: rounded(features.preprocess(long_gap(s, d).drop("y")), "value"),
         "pca": q_pca,
+        "pca_all": q_pca_all,
         # clustering
         "kmeans": lambda s, d: kmeans.kmeans(reduced(s, d), 3, n_init=N_STARTS),
         "nearest_centre": q_nearest_centre,
@@ -655,6 +745,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "planted_fuzzy_ensemble": q_planted(lambda x, k: consensus.fuzzy_ensemble(x, k, n_init=N_STARTS)),
         "planted_classify_rf": q_planted_classify(validate.classify_rf),
         "planted_classify_svm": q_planted_classify(validate.classify_svm),
+        "planted_classifier_test": q_planted_classifier_test,
         "planted_ablation": q_planted_ablation,
         "planted_best_k": q_planted_best_k,
         "planted_run_single": q_planted_run_single,

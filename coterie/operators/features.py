@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.ml.feature import PCA, StandardScaler
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from coterie.functions.tables import to_wide
+from coterie.plans.cells import matrix
 from coterie.session import cut_lineage, written
 
 # A selection of this size is safe to broadcast as a list of keys.
@@ -121,23 +125,87 @@ def preprocess(expr: DataFrame, k_neighbours: int = 5, threshold: float = 0.01)
     return variance_threshold(standardize(filled), threshold)
 
 
+#: Vectors in a block of the Krylov basis beyond the components that are asked for, and
+#: features of a product that are added up together.
+OVERSAMPLING, SUMMED_FEATURES = 8, 256
+
+
+def _gram_times(samples: DataFrame, mean: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """A'(A v) for the centred rows A: each task sends one product of the size of ``v``,
+    which is added up on Spark in the order of the tasks."""
+    wide = v.shape[1]
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(v.shape)
+        for pdf in batches:
+            if len(pdf):
+                a = matrix(pdf["features"]) - mean
+                total += a.T @ (a @ v)
+        task = TaskContext.get().partitionId()
+        at = range(0, len(mean), SUMMED_FEATURES)
+        yield pd.DataFrame({"at": at, "task": task, "part": [total[lo:lo + SUMMED_FEATURES].tobytes() for lo in at]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(raw) for raw in pdf.sort_values("task")["part"]]
+        return pd.DataFrame({"at": pdf["at"].iloc[:1], "part": [sum(parts[1:], parts[0]).tobytes()]})
+
+    rows = samples.select("features").mapInPandas(partial, "at int, task int, part binary").groupBy("at").applyInPandas(
+        add, "at int, part binary").orderBy("at").collect()
+    return np.concatenate([np.frombuffer(r.part).reshape(-1, wide) for r in rows])
+
+
+def principal_axes(samples: DataFrame, mean: np.ndarray, n: int, tol: float = 1e-10, seed: int = 42) -> np.ndarray:
+    """(features, n): the leading eigenvectors of the covariance, largest first.
+
+    A random block is multiplied by the covariance again and again, and the products span
+    a growing basis (block Krylov); the covariance itself is never formed.  Every product
+    is one pass over the rows.  It ends when the residuals of the n axes are below ``tol``
+    of the largest eigenvalue, or when the basis spans all features or cannot grow, in
+    both of which cases the axes are exact.  The driver holds the basis."""
+    d = len(mean)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, min(d, n + OVERSAMPLING))))[0]
+    basis, image = np.zeros((d, 0)), np.zeros((d, 0))
+    while True:
+        product = _gram_times(samples, mean, block)
+        basis, image = np.hstack([basis, block]), np.hstack([image, product])
+        small = basis.T @ image
+        theta, y = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(-theta)[:n]
+        theta, y = theta[order], y[:, order]
+        axes = basis @ y
+        residual = np.sqrt(((image @ y - axes * theta) ** 2).sum(0)).max()
+        if residual <= tol * max(theta[0], 1e-300) or basis.shape[1] == d:
+            return axes
+        for _ in range(2):  # once more for what rounding leaves
+            product = product - basis @ (basis.T @ product)
+        u, size, _ = np.linalg.svd(product, full_matrices=False)
+        block = u[:, size > 1e-13 * max(theta[0], 1e-300)][:, :d - basis.shape[1]]
+        for _ in range(2):
+            block = block - basis @ (basis.T @ block)
+            block = np.linalg.qr(block)[0]
+        if not block.shape[1]:
+            return axes
+
+
 def pca(samples: DataFrame, n: int | None = None, max_components: int = 50) -> DataFrame:
     """Principal component scores of centred features; the largest loading of
     each component is positive.
 
-    The covariance is a distributed aggregate; what reaches the driver is the
-    features x features matrix, bounded by the feature selection.
+    Means and count are one aggregate, the components come from a few passes (see
+    ``principal_axes``); no features x features matrix is formed.
     """
-    vectors = samples.select("sample_id", array_to_vector("features").alias("v"))
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(vectors)
-    d = centred.mean.size
-    n_comp = n or min(max_components, min(vectors.count(), d) - 1)
-    data = centred.transform(vectors)
-    model = PCA(k=n_comp, inputCol="c", outputCol="p").fit(data)
-    loadings = model.pc.toArray()
-    signs = [1.0 if col[abs(col).argmax()] >= 0 else -1.0 for col in loadings.T]
-    scores = F.zip_with(vector_to_array("p"), F.lit(signs), lambda x, s: x * s)
-    return model.transform(data).select("sample_id", scores.alias("features"))
+    stats = samples.select(Summarizer.metrics("mean", "count").summary(array_to_vector("features")).alias("s")).select(
+        vector_to_array("s.mean").alias("mean"), F.col("s.count").alias("n")).first()
+    mean = np.array(stats.mean)
+    n_comp = n or max(1, min(max_components, min(stats.n, len(mean)) - 1))
+    axes = principal_axes(samples, mean, min(n_comp, len(mean)))
+    axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(axes.shape[1])] >= 0, 1.0, -1.0)
+
+    @F.pandas_udf("array<double>")
+    def scores(features: pd.Series) -> pd.Series:
+        return pd.Series(list((matrix(features) - mean) @ axes))
+
+    return samples.select("sample_id", scores("features").alias("features"))
 
 
 def reduce_dim(expr: DataFrame, max_components: int = 50) -> DataFrame:

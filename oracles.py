@@ -143,6 +143,28 @@ def statements() -> dict[str, str]:
     long = "sample_id, gene, y"
     return {
         "read_matrix": f"WITH {X} SELECT 's' || gene AS sample_id, 'g' || y AS gene, {r('avg(value)')} AS value FROM x GROUP BY 1, 2",
+        "load_series": f"""WITH {X}, pm AS (SELECT trim(p_name) AS id, trim(split_part(CASE WHEN p_type = 'ECONOMY' THEN '---'
+              WHEN p_type = 'SMALL' THEN ' ' || p_brand || ' // x' ELSE p_brand || ' /// ' || p_type END, '//', 1)) AS symbol, p_partkey
+              FROM part), pr AS (SELECT id, arg_max(symbol, p_partkey) AS symbol FROM pm WHERE lower(symbol) NOT IN ('', '---', 'nan') GROUP BY 1)
+            , c AS (SELECT printf('s%02d', gene) AS sample_id, p_name, avg(value) AS value
+              FROM x JOIN part ON sample_id = p_partkey AND p_type <> 'ECONOMY' GROUP BY 1, 2)
+            SELECT sample_id, coalesce(symbol, p_name) AS gene, {r('avg(value)')} AS value
+            FROM c LEFT JOIN pr ON id = trim(p_name) GROUP BY 1, 2""",
+        "load_series_labels": f"""WITH {X}, s AS (SELECT DISTINCT gene, printf('s%02d', gene) AS sample_id FROM x),
+              t AS (SELECT s.*, coalesce(lower(c_mktsegment), 'unknown') AS label FROM s LEFT JOIN customer ON printf('s%02d', c_custkey) = s.sample_id),
+              f AS (SELECT label, row_number() OVER (ORDER BY min(sample_id)) - 1 AS y FROM t GROUP BY 1)
+            SELECT sample_id, label, CAST(y AS INTEGER) AS y FROM t JOIN f USING (label)""",
+        "load_series_trace": """SELECT CAST(o AS INTEGER) AS ord, source, name, o = 4 AS used, outcome FROM (VALUES
+              (0, 'tables', 'S1', 'no table with an identifier and a value column'), (1, 'file', 'https://h/gone_matrix.txt', 'not there'),
+              (2, 'file', 'https://h/texts_matrix.txt', 'no usable matrix'), (3, 'file', 'https://h/few_matrix.txt', 'no usable matrix'),
+              (4, 'file', 'https://h/good.txt', 'matrix')) t(o, source, name, outcome) WHERE (SELECT count(*) FROM embeddings) > 10""",
+        "load_labelled": f"""WITH {X}, p AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS i FROM (SELECT DISTINCT sample_id FROM x)),
+              n AS (SELECT n_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+              l AS (SELECT DISTINCT gene, gene % 7 AS label FROM x),
+              f AS (SELECT label, row_number() OVER (ORDER BY min(-gene)) - 1 AS y FROM l GROUP BY 1)
+            SELECT printf('d%02d', x.gene) AS sample_id, coalesce(n_name, 'gene_' || p.i) AS gene, {r('avg(value)')} AS value,
+              CAST(f.y AS INTEGER) AS y
+            FROM x JOIN p USING (sample_id) LEFT JOIN n USING (i) JOIN l ON l.gene = x.gene JOIN f USING (label) GROUP BY 1, 2, 4""",
         "accept_matrix": f"WITH {E3} SELECT count(DISTINCT gene) AS n_genes, count(DISTINCT sample_id) AS n_samples, "
                          "count(DISTINCT gene) > 10 AND count(DISTINCT sample_id) >= 1 AS accepted FROM e3",
         "coerce_numeric": f"WITH {WORDS} SELECT event_id, a, b, c FROM e",
@@ -298,6 +320,10 @@ def statements() -> dict[str, str]:
             "kmeans", "ward", "ward_summaries", "spectral", "fuzzy_cmeans", "hard_ensemble", "fuzzy_ensemble")},
         **{f"planted_classify_{m}": f"""WITH {SPLIT}, {PLANTED} SELECT sample_id, CAST(y AS INTEGER) AS cluster,
             CAST(y AS INTEGER) AS predicted FROM pl JOIN sp USING (sample_id) WHERE is_test""" for m in ("rf", "svm")},
+        "planted_classifier_test": f"""WITH {SPLIT} SELECT m AS model, 1.0::DOUBLE AS accuracy, n AS n_correct, n AS n_test
+            FROM (SELECT count(*) AS n FROM sp WHERE is_test) CROSS JOIN (VALUES ('RandomForest'), ('SVM'), ('KNN')) t(m)""",
+        "pca_all": f"""WITH {X}, v AS (SELECT gene, var_samp(value) AS v FROM x GROUP BY 1)
+            SELECT count(*) AS n, 0.0::DOUBLE AS mean, {r('sum(v)')} AS variance, 0.0::DOUBLE AS covariance FROM v""",
         "planted_ablation": """SELECT CAST(ord AS INTEGER) AS ord, method, 1.0 AS ari FROM (VALUES (0, 'KMeans'),
             (1, 'Fuzzy C-Means'), (2, 'Ensemble (no Fuzzy)'), (3, 'Fuzzy Ensemble')) t(ord, method)
             WHERE (SELECT count(DISTINCT label % 3) FROM embeddings) = 3""",
