@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.plans.cells import BLOCK_ROWS, matrix
-from coterie.plans.tree import CELL, build_tree, column_type, hashed_cells, meet, search
+from coterie.plans.tree import (
+    CELL, build_tree, column_type, distance_bounds, hashed_cells, meet, merge_bounds, search,
+)
 from coterie.session import written
 
 # Candidates measured at a time.
@@ -66,7 +68,7 @@ def cheapest(queries: DataFrame, points: DataFrame, k: int, ward: bool = False,
     """
     n_points = points.count() if n_points is None else n_points
     tree = build_tree(points, n_points, block_rows)
-    return search(tree, queries, k, best_kernel(k, ward, skip_self), ward)
+    return search(tree, queries, k, best_kernel(k, ward, skip_self), merge_bounds if ward else distance_bounds)
 
 
 def near_cells(queries: DataFrame, points: DataFrame, k: int, n_points: int, block_rows: int = BLOCK_ROWS,

@@ -1,26 +1,11 @@
-"""Exact neighbour search by cells: points are grouped around pivots, and a query
-meets only the cells that a distance bound cannot rule out.
-
-Work is shuffled in bounded blocks.  A cell of any size is split by ID hash into
-blocks of about ``block_rows`` points and the queries that visit it likewise, so
-no task ever holds a whole cell; each pair of blocks is one co-group that keeps
-at most k rows per query.  Nothing is dropped: a cell is skipped only when its
-lower bound exceeds a distance the query has already reached.
-"""
+"""Vectors in tasks: columns to matrices, distances to pivots."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 BLOCK_ROWS = 2048
-MAX_CELLS = 1024
-MAX_PIVOT_BYTES = 64 << 20
 
 
 def matrix(column: pd.Series) -> np.ndarray:
@@ -36,117 +21,3 @@ def pivot_distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     x0 = np.where(seen, x, 0.0)
     d2 = (x0**2).sum(1)[:, None] - 2 * x0 @ pivots.T + seen.astype(float) @ (pivots**2).T
     return np.maximum(d2, 0.0)
-
-
-@dataclass
-class Cells:
-    """Points with their ``cell`` and the bounded summary of all cells."""
-
-    points: DataFrame
-    pivots: np.ndarray
-    stats: pd.DataFrame  # indexed by cell: n, radius, w_min (0 rows for an empty cell)
-
-    @property
-    def n_cells(self) -> int:
-        return len(self.pivots)
-
-    def locate(self, df: DataFrame) -> DataFrame:
-        """Add ``cell`` and ``cell_dist`` (distance to its pivot)."""
-        pivots = self.pivots
-
-        @F.pandas_udf("cell int, cell_dist double")
-        def nearest(features: pd.Series) -> pd.DataFrame:
-            d2 = pivot_distances(matrix(features), pivots)
-            cell = d2.argmin(1)
-            return pd.DataFrame({"cell": cell.astype("int32"),
-                                 "cell_dist": np.sqrt(d2[np.arange(len(cell)), cell])})
-
-        return df.withColumn("_c", nearest("features")).select("*", "_c.*").drop("_c")
-
-
-def build_cells(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS,
-                fill: np.ndarray | None = None) -> Cells:
-    """Cells over ``points(pid, features, w)``.  Pivots are a hash sample of at
-    most ``MAX_CELLS`` points and ``MAX_PIVOT_BYTES`` bytes; ``fill`` replaces
-    their missing entries."""
-    first = points.select(F.size("features").alias("d")).first()
-    d = max(1, first.d if first else 1)
-    n_cells = int(np.clip(-(-n_points // block_rows), 1, min(MAX_CELLS, max(1, MAX_PIVOT_BYTES // (8 * d)))))
-    chosen = points.select("features", F.xxhash64("pid").alias("h")).orderBy("h").limit(n_cells)
-    pivots = matrix(chosen.toPandas()["features"]) if first else np.zeros((1, d))
-    if fill is not None:
-        pivots = np.where(np.isnan(pivots), fill, pivots)
-    cells = Cells(points, pivots, pd.DataFrame())
-    located = cells.locate(points).persist()
-    stats = located.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.max("cell_dist").alias("radius"), F.min("w").alias("w_min")
-    ).toPandas().set_index("cell")
-    full = stats.reindex(range(len(pivots)))
-    full["n"] = full["n"].fillna(0).astype(int)
-    return Cells(located, pivots, full.fillna({"radius": 0.0, "w_min": 1.0}))
-
-
-def meet(cells: Cells, visits: DataFrame, kernel: Callable, schema: str,
-         block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Run ``kernel(points, queries)`` on every block pair of each visited cell.
-
-    ``visits`` holds one row per (query, cell), with ``qid`` and ``cell``.
-    """
-    counts = {r.cell: r["count"] for r in visits.groupBy("cell").count().collect()}
-    point_blocks = [max(1, -(-int(n) // block_rows)) for n in cells.stats["n"]]
-    query_blocks = [-(-counts.get(c, 0) // block_rows) for c in range(cells.n_cells)]
-    t = F.get(F.lit(point_blocks), F.col("cell"))
-    q = F.get(F.lit(query_blocks), F.col("cell"))
-    keys = ["cell", "pblock", "qblock"]
-    pts = (
-        cells.points.filter(q > 0)
-        .withColumn("pblock", F.pmod(F.xxhash64("pid"), t).cast("int"))
-        .withColumn("qblock", F.explode(F.sequence(F.lit(0), q - 1)))
-    )
-    qs = (
-        visits.withColumn("qblock", F.pmod(F.xxhash64("qid", F.lit(7)), q).cast("int"))
-        .withColumn("pblock", F.explode(F.sequence(F.lit(0), t - 1)))
-    )
-
-    def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        return kernel(points, queries)
-
-    # Both sides may come from one DataFrame: give one of them its own columns.
-    qs = qs.select(*[F.col(c).alias(c) for c in qs.columns])
-    return pts.groupBy(*keys).cogroup(qs.groupBy(*keys)).applyInPandas(run, schema)
-
-
-def meet_all(points: DataFrame, queries: DataFrame, n_points: int, n_queries: int, kernel: Callable,
-             schema: str, block_rows: int = BLOCK_ROWS, min_blocks: int = 4) -> DataFrame:
-    """``kernel(points, queries)`` on every block pair: for point sets of a few
-    blocks, where bounds would cost more than they save."""
-    t = max(1, -(-n_points // block_rows))
-    q = max(1, -(-n_queries // block_rows), min(min_blocks, n_queries // 128))
-    pts = points.withColumn("pblock", F.pmod(F.xxhash64("pid"), F.lit(t)).cast("int")).withColumn(
-        "qblock", F.explode(F.sequence(F.lit(0), F.lit(q - 1))))
-    qs = queries.withColumn("qblock", F.pmod(F.xxhash64("qid", F.lit(7)), F.lit(q)).cast("int")).withColumn(
-        "pblock", F.explode(F.sequence(F.lit(0), F.lit(t - 1))))
-    qs = qs.select(*[F.col(c).alias(c) for c in qs.columns])
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        return kernel(a, b)
-
-    return pts.groupBy("pblock", "qblock").cogroup(qs.groupBy("pblock", "qblock")).applyInPandas(run, schema)
-
-
-def visit_cells(cells: Cells, queries: DataFrame, lower_bound: Callable) -> DataFrame:
-    """Explode queries (with ``bound``, the cost already reached) to the cells
-    whose ``lower_bound(x, w, cell, d2)`` does not exceed it."""
-    pivots, n = cells.pivots, cells.stats["n"].to_numpy()
-
-    @F.pandas_udf("array<int>")
-    def which(features: pd.Series, w: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
-        x = matrix(features)
-        d2 = pivot_distances(x, pivots)
-        low = lower_bound(x, w.to_numpy(), cell.to_numpy(), d2)
-        near = low <= (bound.to_numpy() * (1 + 1e-9) + 1e-12)[:, None]
-        near &= n[None, :] > 0
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in near])
-
-    return queries.withColumn("_v", which("features", "w", "cell", "bound")).drop("cell").withColumn(
-        "cell", F.explode("_v")).drop("_v", "cell_dist", "bound")

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coterie.plans.cells import BLOCK_ROWS, matrix, pivot_distances
@@ -60,6 +60,7 @@ class Tree:
     leaves: DataFrame
     n_leaves: int
     block_rows: int
+    fill: np.ndarray | None = None
 
 
 def _nearest(pivots: np.ndarray):
@@ -94,19 +95,28 @@ def _with_leaves(rows: DataFrame, key: str, sizes: dict[int, int], leaves: DataF
     return rows.groupBy("branch", "part").cogroup(leaves.groupBy("branch", "part")).applyInPandas(run, schema)
 
 
+def _pivots(branch: pd.DataFrame, fill: np.ndarray | None) -> np.ndarray:
+    """The leaves' pivots of a branch."""
+    pivots = matrix(pd.Series(list(branch["pivots"].iloc[0])))
+    return pivots if fill is None else np.where(np.isnan(pivots), fill, pivots)
+
+
 def _counts(df: DataFrame) -> dict[int, int]:
     """Rows per branch: as many numbers as there are branches."""
     return {r.branch: r["count"] for r in df.groupBy("branch").count().collect()}
 
 
-def build_tree(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS) -> Tree:
-    """A tree over ``points(pid, features, w)``."""
+def build_tree(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS, fill: np.ndarray | None = None) -> Tree:
+    """A tree over ``points(pid, features, w)``.  Of points with gaps, the distance to a
+    pivot runs over the features that are there; ``fill`` completes the pivots."""
     n_leaves = max(1, -(-n_points // block_rows))
     if n_leaves == 1:
-        return Tree(points, np.zeros((1, 1)), np.zeros(1), np.zeros(1), points, 1, block_rows)
+        return Tree(points, np.zeros((1, 1)), np.zeros(1), np.zeros(1), points, 1, block_rows, fill)
     n_branches = int(np.ceil(np.sqrt(n_leaves)))
     drawn = points.select("features", F.xxhash64("pid").alias("h")).orderBy("h").limit(n_branches)
     top = matrix(drawn.toPandas()["features"])
+    if fill is not None:
+        top = np.where(np.isnan(top), fill, top)
     located = written(_in_branches(points.select("pid", "features", "w"), top), "branches")
     sizes = _counts(located)
 
@@ -127,7 +137,7 @@ def build_tree(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS) -
         cols = ["pid", "features", "w", "branch", "leaf", "branch_dist", "leaf_dist"]
         if not len(rows):
             return pd.DataFrame({c: [] for c in cols})
-        d2 = pivot_distances(matrix(rows["features"]), matrix(pd.Series(list(branch["pivots"].iloc[0]))))
+        d2 = pivot_distances(matrix(rows["features"]), _pivots(branch, fill))
         leaf = d2.argmin(1)
         return rows.assign(leaf=leaf, leaf_dist=np.sqrt(d2[np.arange(len(rows)), leaf]))[cols]
 
@@ -148,13 +158,16 @@ def build_tree(points: DataFrame, n_points: int, block_rows: int = BLOCK_ROWS) -
     blocked = blocked.withColumn("pblock", F.pmod(F.xxhash64("pid"), F.col("pblocks")).cast("int")).drop("pblocks")
     # An empty branch has no leaves and an infinite bound.
     return Tree(blocked, top, known["radius"].fillna(-np.inf).to_numpy(), known["w_min"].fillna(1.0).to_numpy(), leaves,
-                n_leaves, block_rows)
+                n_leaves, block_rows, fill)
+
 
+#: Lower bounds of the cost between each query (vectors, weights) and any point of each
+#: group (pivots, radii, least weights).
+Lower = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
-def bounds(x: np.ndarray, w: np.ndarray, pivots: np.ndarray, radius: np.ndarray, w_min: np.ndarray,
-           ward: bool) -> np.ndarray:
-    """Lower bounds of the cost between each row and any point of each pivot's group: the
-    bisector between two pivots, and the ball around a pivot."""
+
+def distance_bounds(x: np.ndarray, w: np.ndarray, pivots: np.ndarray, radius: np.ndarray, w_min: np.ndarray) -> np.ndarray:
+    """For squared distances: the bisector between two pivots, and the ball around one."""
     centre = pivots.mean(0)
     at = pivots - centre
     norms = (at**2).sum(1)
@@ -166,10 +179,12 @@ def bounds(x: np.ndarray, w: np.ndarray, pivots: np.ndarray, radius: np.ndarray,
     err = 1e-11 * (((x - centre) ** 2).sum(1)[:, None] + norms[None, :])
     bisector = (d2 - d2[np.arange(len(own)), own][:, None] - 2 * err) / (2 * gap * (1 + 1e-5))
     ball = np.sqrt(np.maximum(d2 - err, 0.0)) - radius[None, :] - np.sqrt(err)
-    cost = np.maximum(np.maximum(bisector, ball), 0.0) ** 2
-    if ward:
-        cost = cost * (w[:, None] * w_min[None, :] / (w[:, None] + w_min[None, :]))
-    return cost
+    return np.maximum(np.maximum(bisector, ball), 0.0) ** 2
+
+
+def merge_bounds(x: np.ndarray, w: np.ndarray, pivots: np.ndarray, radius: np.ndarray, w_min: np.ndarray) -> np.ndarray:
+    """For the growth of the within-cluster sum of squares on merging."""
+    return distance_bounds(x, w, pivots, radius, w_min) * (w[:, None] * w_min[None, :] / (w[:, None] + w_min[None, :]))
 
 
 def meet(points: DataFrame, visits: DataFrame, kernel: Callable, schema: str, block_rows: int) -> DataFrame:
@@ -191,13 +206,13 @@ def meet(points: DataFrame, visits: DataFrame, kernel: Callable, schema: str, bl
     return _other_columns(pts).groupBy(*keys).cogroup(_other_columns(qs).groupBy(*keys)).applyInPandas(run, schema)
 
 
-def _visits(tree: Tree, queries: DataFrame, ward: bool, home_only: bool) -> DataFrame:
-    """(qid, features, w, branch, leaf, pblocks, low): with ``home_only`` the nearest leaf
+def _visits(tree: Tree, queries: DataFrame, lower: Lower | None) -> DataFrame:
+    """(qid, features, w, branch, leaf, pblocks, low): without ``lower`` the nearest leaf
     of the nearest branch, else every other leaf whose lower bound ``low`` does not
     exceed the query's ``bound``."""
     schema = f"qid {column_type(queries, 'qid')}, features array<double>, w double, branch int, leaf int, pblocks int, low double"
-    top, radius, w_min, block_rows = tree.top, tree.radius, tree.w_min, tree.block_rows
-    if home_only:
+    top, radius, w_min, block_rows, fill = tree.top, tree.radius, tree.w_min, tree.block_rows, tree.fill
+    if lower is None:
         full = np.isfinite(radius)
 
         @F.pandas_udf("array<int>")
@@ -209,7 +224,7 @@ def _visits(tree: Tree, queries: DataFrame, ward: bool, home_only: bool) -> Data
     else:
         @F.pandas_udf("array<int>")
         def branches(features: pd.Series, w: pd.Series, bound: pd.Series) -> pd.Series:
-            low = bounds(matrix(features), w.to_numpy(), top, radius, w_min, ward)
+            low = lower(matrix(features), w.to_numpy(), top, radius, w_min)
             near = (low <= _slack(bound.to_numpy())[:, None]) & np.isfinite(radius)[None, :]
             return pd.Series([np.flatnonzero(r).astype("int32") for r in near])
 
@@ -221,15 +236,15 @@ def _visits(tree: Tree, queries: DataFrame, ward: bool, home_only: bool) -> Data
         if not len(rows) or not len(branch):
             return pd.DataFrame({c: [] for c in cols})
         x, w = matrix(rows["features"]), rows["w"].to_numpy()
-        pivots = matrix(pd.Series(list(branch["pivots"].iloc[0])))
+        pivots = _pivots(branch, fill)
         stats = pd.DataFrame([(s["leaf"], s["n"], s["radius"], s["w_min"]) for s in branch["stats"].iloc[0]],
                              columns=["leaf", "n", "radius", "w_min"]).set_index("leaf").reindex(range(len(pivots)))
         held = stats["n"].notna().to_numpy()
-        if home_only:
+        if lower is None:
             low = np.where(held[None, :], pivot_distances(x, pivots), np.inf)
             at, leaf = np.arange(len(x)), low.argmin(1)
         else:
-            low = bounds(x, w, pivots, stats["radius"].fillna(-np.inf).to_numpy(), stats["w_min"].fillna(1.0).to_numpy(), ward)
+            low = lower(x, w, pivots, stats["radius"].fillna(-np.inf).to_numpy(), stats["w_min"].fillna(1.0).to_numpy())
             near = (low <= _slack(rows["bound"].to_numpy())[:, None]) & held[None, :]
             seen = (rows["home_branch"] == rows["branch"]).to_numpy()
             near[np.flatnonzero(seen), rows["home_leaf"].to_numpy()[seen]] = False
@@ -245,34 +260,48 @@ def _slack(bound: np.ndarray) -> np.ndarray:
     return bound * (1 + 1e-9) + 1e-12
 
 
-def search(tree: Tree, queries: DataFrame, k: int, kernel: Callable, ward: bool = False) -> DataFrame:
-    """(qid, pid, cost, rank): the k cheapest points of each query in ``queries(qid,
+def search(tree: Tree, queries: DataFrame, k: int, kernel: Callable, lower: Lower, more: str = "",
+           by: tuple[str, ...] = ("qid",), needed: Column | None = None) -> DataFrame:
+    """(qid, pid, cost, ..., rank): the k cheapest points of each query in ``queries(qid,
     features, w)``; ties go to the smaller ``pid``.  ``kernel`` gives the k cheapest of a
-    pair of blocks."""
-    schema = f"qid {column_type(queries, 'qid')}, pid {column_type(tree.points, 'pid')}, cost double"
-    order = Window.partitionBy("qid").orderBy("cost", "pid")
+    pair of blocks, with the columns ``more``.
+
+    A query may ask for the k cheapest in several groups, told apart by the columns
+    ``by``: ``needed`` (over its columns) groups, each of which must have its k points
+    before the query has a bound."""
+    schema = f"qid {column_type(queries, 'qid')}, pid {column_type(tree.points, 'pid')}, cost double{more}"
+    order = Window.partitionBy(*by).orderBy("cost", "pid")
+    needed = F.lit(1) if needed is None else needed
 
     def best(found: DataFrame) -> DataFrame:
         return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
+    def bounded(rows: DataFrame, reached: DataFrame) -> DataFrame:
+        """With ``bound``, the k-th cost reached so far."""
+        each = reached.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("far"))
+        full = each.filter(F.col("n") >= k).groupBy("qid").agg(F.count(F.lit(1)).alias("full"), F.max("far").alias("far"))
+        bound = F.when(F.col("full") >= needed, F.col("far")).otherwise(float("inf"))
+        return rows.join(full, "qid", "left").withColumn("bound", bound).drop("full", "far")
+
     def found_in(visits: DataFrame) -> DataFrame:
         return meet(tree.points, visits, kernel, schema, tree.block_rows)
 
+    queries = queries.select("qid", "features", "w")
     if tree.n_leaves == 1:
-        return _one_leaf(tree, queries, k, kernel, schema)
-    home = written(_visits(tree, queries.select("qid", "features", "w"), ward, home_only=True), "home-leaves")
+        return best(_one_leaf(tree, queries, kernel, schema))
+    home = written(_visits(tree, queries, None), "home-leaves")
     reached = written(best(found_in(home)).drop("rank"), "reached")
     at_home = home.select("qid", "features", "w", F.col("branch").alias("home_branch"), F.col("leaf").alias("home_leaf"))
-    visits = written(_visits(tree, _bounded(at_home, reached, k), ward, home_only=False), "visits")
+    visits = written(_visits(tree, bounded(at_home, reached), lower), "visits")
     near = visits.withColumn("turn", F.row_number().over(Window.partitionBy("qid").orderBy("low", *CELL)))
     first = near.where(F.col("turn") <= NEXT_LEAVES).drop("turn")
     reached = written(best(reached.unionByName(found_in(first))).drop("rank"), "reached")
-    rest = _bounded(near.where(F.col("turn") > NEXT_LEAVES).drop("turn"), reached, k)
+    rest = bounded(near.where(F.col("turn") > NEXT_LEAVES).drop("turn"), reached)
     rest = rest.where(F.col("low") <= F.col("bound") * (1 + 1e-9) + 1e-12).drop("bound")
     return best(reached.unionByName(found_in(rest)))
 
 
-def _one_leaf(tree: Tree, queries: DataFrame, k: int, kernel: Callable, schema: str) -> DataFrame:
+def _one_leaf(tree: Tree, queries: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """The search where all points are one block: it goes to every block of queries."""
     blocks = QUERY_BLOCKS
     pts = tree.points.select(F.col("pid").alias("pid"), F.col("features").alias("features"), F.col("w").alias("w"),
@@ -280,16 +309,9 @@ def _one_leaf(tree: Tree, queries: DataFrame, k: int, kernel: Callable, schema:
     qs = queries.select("qid", "features", "w", F.pmod(F.xxhash64("qid", F.lit(7)), F.lit(blocks)).cast("int").alias("qblock"))
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        found = kernel(a, b)
-        return found.assign(rank=found.groupby("qid", sort=False).cumcount() + 1)
-
-    return pts.groupBy("qblock").cogroup(qs.groupBy("qblock")).applyInPandas(run, f"{schema}, rank int")
-
+        return kernel(a, b)
 
-def _bounded(queries: DataFrame, reached: DataFrame, k: int) -> DataFrame:
-    """With ``bound``, the k-th cost reached so far."""
-    cost = reached.groupBy("qid").agg(F.when(F.count(F.lit(1)) >= k, F.max("cost")).alias("bound"))
-    return queries.join(cost, "qid", "left").fillna(float("inf"), ["bound"])
+    return pts.groupBy("qblock").cogroup(qs.groupBy("qblock")).applyInPandas(run, schema)
 
 
 def hashed_cells(df: DataFrame, sample: np.ndarray, bits: int, tables: int, seed: int) -> DataFrame:

@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
 
-from coterie.operators.impute import knn_impute_samples
+from coterie.operators.impute import gap_bounds, knn_impute_samples
 from coterie.operators.neighbors import cheapest, knn, knn_affinity
 from coterie.operators.validate import classify_knn
 from coterie.plans import tree
+from coterie.plans.cells import pivot_distances
 from coterie.plans.tree import meet
 
 from helpers import blobs, distances, impute, nearest, to_samples, vector, with_copies
@@ -126,6 +127,42 @@ def test_impute_equals_brute_force(spark, block_rows):
     assert np.allclose(np.array(vector(got, "features").tolist()), impute(x, 5))
 
 
+def test_imputation_visits_few_leaves_at_random_gaps(spark, monkeypatch):
+    """One value in a hundred is missing, so hardly any feature is whole in a leaf."""
+    seen = []
+
+    def counted(points, visits, *rest):
+        seen.append(visits.count())
+        return meet(points, visits, *rest)
+
+    monkeypatch.setattr(tree, "meet", counted)
+    x, _ = blobs(600, 12, 8, seed=5)
+    x[np.random.default_rng(3).random(x.shape) < 0.01] = np.nan
+    receivers = np.isnan(x).any(1).sum()
+    got = knn_impute_samples(to_samples(spark, x), 5, 25)
+    assert np.allclose(np.array(vector(got, "features").tolist()), impute(x, 5))
+    assert receivers > 30 and sum(seen) / receivers < 12  # half of the 24 leaves
+
+
+def test_gap_bounds_hold():
+    rng = np.random.default_rng(8)
+    x, donors, pivots = (rng.normal(size=(n, 6)) * 3 for n in (40, 200, 5))
+    x[rng.random(x.shape) < 0.2] = np.nan
+    donors[rng.random(donors.shape) < 0.2] = np.nan
+    d2 = pivot_distances(donors, pivots)
+    leaf = d2.argmin(1)
+    radius = np.array([np.sqrt(d2[leaf == c, c].max()) for c in range(5)])
+    most = np.array([np.isnan(donors[leaf == c]).sum(1).max() for c in range(5)])
+    low = gap_bounds(x, np.ones(40), pivots, radius, -most.astype(float))
+    for i in range(40):
+        both = ~np.isnan(x[i]) & ~np.isnan(donors)
+        cost = (np.where(both, x[i] - donors, 0) ** 2).sum(1) * 6 / np.maximum(both.sum(1), 1)
+        for c in range(5):
+            able = (leaf == c) & both.any(1)
+            assert low[i, c] <= cost[able].min() + 1e-9
+    assert (low > 0).any()
+
+
 def test_impute_copies_and_hopeless_gaps(spark):
     x = with_copies(45)
     x[:5, 1] = np.nan  # copies with the same gap
