@@ -14,8 +14,15 @@ PREFIX_DIGITS = 8
 def url_host(url: Column) -> Column:
     """What follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
     lower-cased; empty without ``://`` or for a null URL."""
-    found = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit(""))
-    return F.translate(found, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower_ascii(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")))
+
+
+def _lower_ascii(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def _n_labels(host: Column) -> Column:
+    return F.length(host) - F.length(F.translate(host, ".", "")) + 1
 
 
 def url_path(url: Column) -> Column:
@@ -37,25 +44,29 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
     Without one, rule is null and verdict ``default``.
 
     Each distinct (host, path) is expanded into its host suffixes times its path
-    prefixes of the lengths that rules have; these meet the rules in an equi-join on
-    the first digits of their digests, and the full digest confirms.  Repeated pages
+    prefixes, of the numbers of labels and the lengths that rules have; these meet the
+    rules in an equi-join on the first digits of their digests, and the full digest
+    confirms.  A long host or path costs its length per such number.  Repeated pages
     are judged once and all returned.  A null or malformed URL has empty host and
     path.  Rules with a null host, path or verdict are ignored; columns of ``pages``
     named like the four results are replaced.
     """
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": url_host(F.col(url)),
                                                                        "path": url_path(F.col(url))})
-    rules = rules.select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"),
+    rules = rules.select(_lower_ascii(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"),
                          F.col("verdict").alias("rule_verdict")).dropna()
     rules = rules.withColumn("digest", _digest(F.col("rule_host"), F.col("rule_path")))
     rules = rules.groupBy("digest", "rule_host", "rule_path").agg(F.max("rule_verdict").alias("rule_verdict"))
     rules = written(rules.withColumn("short", F.substring("digest", 1, PREFIX_DIGITS)), "url-rules")
-    # The distinct lengths of rule paths: as many as the longest path has characters at most.
+    # The distinct lengths of rule paths, and numbers of labels of rule hosts: as many as the
+    # longest path has characters, and the longest host labels, at most.
     lengths = sorted(r.n for r in rules.select(F.length("rule_path").alias("n")).distinct().collect())
 
-    labels = F.split("host", "\\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(
-        F.slice(labels, i, F.size(labels)), "."))
+    counts = sorted(r.n for r in rules.select(_n_labels(F.col("rule_host")).alias("n")).distinct().collect())
+
+    counts = F.filter(F.array(*map(F.lit, counts)).cast("array<int>"), lambda n: n <= _n_labels(F.col("host")))
+    # The last n labels, from the end of the host.
+    suffixes = F.transform(counts, lambda n: F.call_function("substring_index", F.col("host"), F.lit("."), -n))
     urls = pages.select("host", "path").where("host <> ''").distinct()
     lengths = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("path"))
     prefixes = F.transform(lengths, lambda n: F.substr("path", F.lit(1), n))

@@ -56,6 +56,12 @@ def test_urls(spark):
     assert hosts[2] == ("sub.example.org", "/es/7") and hosts[8] == ("", "") and hosts[12] == ("a.org", "")
     assert urls.judge_urls(pages.limit(0), rules).count() == 0
     assert {r.verdict for r in urls.judge_urls(pages, rules.limit(0), "block").collect()} == {"block"}
+    # A host of 40 KB, in time that follows its length, and rule hosts in capitals.
+    far = spark.createDataFrame([(1, "http://" + "a." * 20_000 + "example.ORG/es/1"), (2, "http://" + "." * 40_000 + "org/")],
+                                "page_id long, url string")
+    loud = spark.createDataFrame([("EXAMPLE.org", "/es/", "block"), ("org", "/", "allow"), ("\u0130.org", "/", "block")],
+                                 "host string, path string, verdict string")
+    assert sorted((r.page_id, r.rule) for r in urls.judge_urls(far, loud).collect()) == [(1, "example.org/es/"), (2, "org/")]
     # Long hosts and a longer host of equal length of rule.
     more = spark.createDataFrame([("b.c", "/xx", "allow"), ("a.b.c", "/", "block")], "host string, path string, verdict string")
     assert urls.judge_urls(spark.createDataFrame([(1, "http://a.b.c/xx")], "page_id long, url string"), more).first().verdict == "block"
