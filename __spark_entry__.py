@@ -124,8 +124,8 @@ def metadata(spark, sf):
 
 
 def class_means(spark, sf):
-    """Means of the classes 0, 1, 2: three centres."""
-    rows = long_x(spark, sf).filter("y < 3").groupBy("y", "gene").agg(F.avg("value").alias("c")).collect()
+    """Means of all samples by class modulo 3: three centres."""
+    rows = long_x(spark, sf).withColumn("y", F.col("y") % 3).groupBy("y", "gene").agg(F.avg("value").alias("c")).collect()
     out = np.zeros((3, 1 + max(r.gene for r in rows)))
     for r in rows:
         out[r.y, r.gene] = r.c
@@ -269,7 +269,7 @@ def three_specs(spark, sf):
 
 def q_load_datasets(spark, sf):
     expr, _, _ = jobs.load_datasets(spark, three_specs(spark, sf))
-    return rounded(expr.filter("value IS NOT NULL"), "value")
+    return rounded(expr, "value")
 
 
 def q_load_report(spark, sf):
@@ -675,7 +675,7 @@ def core_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "encode_labels": lambda s, d: labels.encode_labels(order_labels(s, d)),
         "offset_labels": lambda s, d: labels.offset_labels(labels.encode_labels(order_labels(s, d))),
         "defuzzify": lambda s, d: labels.defuzzify(
-            samples_x(s, d).select("sample_id", F.slice("features", 1, 4).alias("u"))),
+            samples_x(s, d).select("sample_id", F.col("features").alias("u"))),
         "first_per_key": q_first_per_key,
         "last_per_key": q_last_per_key,
         "sort_by_cluster": lambda s, d: figures.sort_by_cluster(labels_x(s, d)),

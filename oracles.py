@@ -33,7 +33,7 @@ PLANTED = """pl AS (SELECT vec_id AS sample_id, label % 3 AS y, CAST(k AS INTEGE
   JOIN (SELECT label % 3 AS m, row_number() OVER (ORDER BY min(vec_id)) - 1 AS k FROM embeddings GROUP BY 1) ON m = label % 3)"""
 LOADED = QC + ", " + scored("q3") + """,
 shared AS (SELECT gene FROM z3 GROUP BY gene HAVING count(DISTINCT dataset) = (SELECT count(DISTINCT dataset) FROM z3)),
-l3 AS (SELECT z3.* FROM z3 SEMI JOIN shared USING (gene) WHERE value IS NOT NULL)"""
+l3 AS (SELECT z3.* FROM z3 SEMI JOIN shared USING (gene))"""
 LAB = """lab AS (SELECT CAST(r AS INTEGER) AS run, vec_id AS sample_id,
   CAST(list_position(embedding[3*r+1:3*r+3], list_max(embedding[3*r+1:3*r+3])) - 1 AS INTEGER) AS cluster
   FROM embeddings, range(3) t(r))"""
@@ -76,7 +76,7 @@ ss AS (SELECT sig, l, count(*) AS n FROM sg GROUP BY ALL),
 co AS (SELECT a.sig AS sig_i, b.sig AS sig_j, a.n AS n_i, b.n AS n_j,
   list_sum(list_transform(generate_series(1, 3), lambda r: CASE WHEN a.l[r] = b.l[r] THEN 1 ELSE 0 END)) / 3 AS co
   FROM ss a, ss b)"""
-FCM1 = X + """, c0 AS (SELECT y AS c, gene, avg(value) AS v FROM x WHERE y < 3 GROUP BY 1, 2),
+FCM1 = X + """, c0 AS (SELECT y % 3 AS c, gene, avg(value) AS v FROM x GROUP BY 1, 2),
 d0 AS (SELECT sample_id, c, sum((value - v) ^ 2) AS d2 FROM x JOIN c0 USING (gene) GROUP BY 1, 2),
 u0 AS (SELECT sample_id, c, (1 / d2) / sum(1 / d2) OVER (PARTITION BY sample_id) AS u FROM d0)"""
 FCM2 = FCM1 + """, c1 AS (SELECT c, gene, sum(u * u * value) / sum(u * u) AS v FROM u0 JOIN x USING (sample_id) GROUP BY 1, 2),
@@ -198,7 +198,7 @@ def statements() -> dict[str, str]:
             SELECT page_id, accession, CAST(pos AS INTEGER) AS pos, 'https://ftp.ncbi.nlm.nih.gov/geo/series/' || left(accession, length(accession) - 3)
               || 'nnn/' || accession || '/suppl/' || name AS url FROM u WHERE NOT contains(name, '://') AND NOT starts_with(lower(name), 'http')""",
         "load_datasets": f"WITH {LOADED} SELECT dataset, dataset || '/' || sample_id AS sample_id, gene, {r('value')} AS value FROM l3",
-        "load_report": f"""WITH {LOADED} SELECT dataset, true AS loaded, count(*) AS n_cells FROM l3 GROUP BY 1
+        "load_report": f"""WITH {LOADED} SELECT dataset, true AS loaded, count(value) AS n_cells FROM l3 GROUP BY 1
             UNION ALL SELECT 'missing', false, 0""",
         "write_result": f"WITH {E3} SELECT dataset, sample_id, gene, {r('value')} AS value FROM d3",
         "qc_filter": f"WITH {QC} SELECT dataset, sample_id, gene, {r('value')} AS value FROM q3",
@@ -272,7 +272,7 @@ def statements() -> dict[str, str]:
             SELECT o_orderstatus AS dataset, o_orderkey AS sample_id, label, o_orderkey AS ord,
               CAST(y + coalesce((SELECT sum(n) FROM t WHERE t.dataset < c.dataset), 0) AS INTEGER) AS y
             FROM orders JOIN c ON dataset = o_orderstatus AND label = o_orderpriority""",
-        "defuzzify": """SELECT vec_id AS sample_id, CAST(list_position(embedding[1:4], list_max(embedding[1:4])) - 1 AS INTEGER) AS cluster
+        "defuzzify": """SELECT vec_id AS sample_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS cluster
             FROM embeddings""",
         "first_per_key": f"WITH {ITEMS} SELECT key, min(ord) AS ord, arg_min(supplier, ord) AS supplier FROM it GROUP BY 1",
         "last_per_key": f"WITH {ITEMS} SELECT key, arg_max(supplier, ord) AS supplier FROM it GROUP BY 1",
