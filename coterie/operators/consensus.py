@@ -103,7 +103,7 @@ def _lowest_agreement(sigs: DataFrame, n_sigs: int, weights: np.ndarray) -> Data
             out.append(pd.DataFrame({"sig": b["sig"], "lo": co.min(0)}))
         return pd.concat(out)
 
-    lows = block_pairs(sigs.select("sig"), n_sigs, "sig", kernel, "sig array<int>, lo double")
+    lows = block_pairs(sigs.select("sig"), n_sigs, 4 * len(weights), "sig", kernel, "sig array<int>, lo double")
     return lows.groupBy("sig").agg(F.min("lo").alias("lo"))
 
 
