@@ -4,10 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +15,8 @@ from coterie.operators.kmeans import N_INIT, SEED, kmeans, kmeans_sweep
 from coterie.operators.labels import canonical, defuzzify
 from coterie.operators.metrics import evaluate, silhouette
 from coterie.operators.neighbors import knn
-from coterie.plans.cells import BLOCK_ROWS, matrix
+from coterie.operators.svm import train_svm
+from coterie.plans.cells import BLOCK_ROWS
 from coterie.session import cut_lineage
 
 # Fixed value: held-out share of the samples.
@@ -81,11 +78,6 @@ def train_test_split(samples: DataFrame, test_size: float = TEST_SIZE, seed: int
     return hashed.withColumn("is_test", F.col("_h") <= last).drop("_h")
 
 
-def _vectors(samples: DataFrame) -> DataFrame:
-    return samples.select("sample_id", array_to_vector("features").alias("features"),
-                          F.col("cluster").cast("double").alias("label"))
-
-
 def classify_rf(train: DataFrame, test: DataFrame, seed: int = SEED, n_trees: int = 100) -> DataFrame:
     """(sample_id, cluster, predicted) by random forest (see ``forest``): square root of
     the features per split, depth up to 30, the same for any partitioning."""
@@ -93,38 +85,12 @@ def classify_rf(train: DataFrame, test: DataFrame, seed: int = SEED, n_trees: in
         "sample_id", F.col("cluster").cast("int").alias("cluster"), "predicted")
 
 
-def _predicted(df: DataFrame) -> DataFrame:
-    return df.select("sample_id", F.col("label").cast("int").alias("cluster"),
-                     F.col("prediction").cast("int").alias("predicted"))
-
-
 def classify_svm(train: DataFrame, test: DataFrame, seed: int = SEED, c: float = 1.0,
                  n_random: int = 500) -> DataFrame:
-    """Support vector machine with an RBF kernel of width 1 / (features x
-    variance), approximated by ``n_random`` random Fourier features and a linear
-    machine per class."""
-    row = train.select(F.size("features").alias("d"), F.explode("features").alias("x")).agg(
-        F.first("d").alias("d"), F.var_pop("x").alias("v"), F.count(F.lit(1)).alias("cells")).first()
-    d, n = row.d, row.cells // row.d
-    gamma = 1.0 / (d * row.v) if row.v else 1.0
-    rng = np.random.default_rng(seed)
-    w, b = rng.normal(size=(d, n_random)) * math.sqrt(2 * gamma), rng.uniform(0, 2 * math.pi, n_random)
-
-    @F.pandas_udf("array<double>")
-    def fourier(features: pd.Series) -> pd.Series:
-        return pd.Series(list(math.sqrt(2.0 / n_random) * np.cos(matrix(features) @ w + b)))
-
-    def mapped(df):
-        return _vectors(df.withColumn("features", fourier("features")))
-
-    data = mapped(train).persist()
-    classes = [r.label for r in data.select("label").distinct().orderBy("label").collect()]
-    svm = LinearSVC(maxIter=50, regParam=1.0 / (c * n), standardization=False)
-    if len(classes) == 1:
-        return _predicted(mapped(test).withColumn("prediction", F.lit(classes[0])))
-    if classes == [0.0, 1.0]:
-        return _predicted(svm.fit(data).transform(mapped(test)))
-    return _predicted(OneVsRest(classifier=svm, parallelism=4).fit(data).transform(mapped(test)))
+    """(sample_id, cluster, predicted) by support vector machines with an RBF kernel,
+    trained to a duality gap (see ``svm``), the same for any partitioning."""
+    return train_svm(train, seed, c, n_random).predict(test).select(
+        "sample_id", F.col("cluster").cast("int").alias("cluster"), "predicted")
 
 
 def classify_knn(train: DataFrame, test: DataFrame, k: int = 5, block_rows: int = BLOCK_ROWS) -> DataFrame:
