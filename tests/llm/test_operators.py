@@ -4,16 +4,18 @@ import base64
 import gzip
 import hashlib
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
 from coterie.llm import (
-    bpe, chat, components, decontaminate, embeddings, quality, queries, samples, simhash, substrings, tiles, tokens,
+    arrow, bpe, chat, components, decontaminate, embeddings, quality, queries, samples, simhash, substrings, tiles, tokens,
     toxicity, urls,
 )
 
@@ -474,6 +476,49 @@ def test_forward_backward():
     assert np.allclose(pair, total_pair)
 
 
+def test_long_chains_are_walked_in_pieces():
+    rng = np.random.default_rng(12)
+    first = np.array([0, 1, 30, 37, 90, 91])
+    unary, moves, weight = 3 * rng.standard_normal((91, 2)), rng.standard_normal((2, 2)), rng.random(91)
+    whole = quality.marginals(unary, moves, first, weight)
+    for piece in (1, 2, 7, 53):
+        for a, b in zip(whole, quality.marginals(unary, moves, first, weight, piece)):
+            assert np.allclose(a, b, rtol=1e-10, atol=1e-12)
+
+
+def test_quality_of_long_texts_of_short_lines():
+    """Blocks of lines give what one block gives; 400,000 lines take seconds."""
+    rng = np.random.default_rng(13)
+    field = quality.LineField(rng.random(14), rng.random(14) + 0.5, rng.standard_normal((43, 2)),
+                              rng.standard_normal((2, 2)), 2.0, -1.0)
+    long = "".join(rng.choice(["a b\n", "\n", "X y! z\n", "w" * 900 + " v\n"], 3000, p=[0.5, 0.2, 0.29, 0.01]))
+    data, offsets = arrow.flat_text(pa.array([long]))
+    raw, weight, first = quality.line_features(data, offsets)
+    x = quality._with_neighbours((raw - field.mean) / field.scale, first)
+    unary, w, f = quality._unary(field, data, offsets)
+    assert np.allclose(unary, x @ field.states) and (w == weight).all() and f.tolist() == first.tolist()
+    parts = list(quality.line_blocks(data, offsets, 500))
+    assert len(parts) > 20 and (np.concatenate([p[0] for p in parts]) == raw).all()
+    started = time.time()
+    data, offsets = arrow.flat_text(pa.array(["a b\n" * 400_000]))
+    unary, w, f = quality._unary(field, data, offsets)
+    assert 0 <= quality._means(unary, field.moves, w, f)[0] <= 1 and len(w) == 400_000
+    assert time.time() - started < 20
+
+
+def test_quality_learns_from_one_row_per_id_and_bounded_lines(spark):
+    docs = docs_of(spark, [(i, f"{'good line of words' if i % 2 else '#### !!!!'} {i}\n" * 3) for i in range(60)])
+    docs = docs.union(docs.withColumn("text", F.concat(F.lit("zz "), "text")))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    y, raw, weight, first = quality._training_lines(samples.training_rows(docs, labels, "quality", 60, one_each=True), 50)
+    assert len(y) == 16 and len(raw) == len(weight) == first[-1] == 48
+    known = samples.training_rows(docs, labels, "quality", 60, one_each=True)
+    assert known.groupBy("doc_id").count().where("count > 1").count() == 0
+    assert known.where("text LIKE 'zz %'").count() == 0
+    scores = quality.score(docs, quality.train(docs, labels))
+    assert {r.doc_id % 2 == (r.score > 0.5) for r in scores.collect()} == {True}
+
+
 def test_toxicity(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = queries.texts(spark, sf), queries.table(spark, sf, "labels")
