@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coterie.operators.impute import gap_bounds, knn_impute_samples
 from coterie.operators.neighbors import cheapest, knn, knn_affinity
@@ -32,6 +33,22 @@ def test_knn_with_a_third_of_rows_equal(spark, block_rows):
     assert (found(knn(s, s, 3, block_rows), 90, 3) == nearest(x, 3)).all()
 
 
+def named(samples):
+    return samples.withColumn("sample_id", F.format_string("A/%03d", "sample_id"))
+
+
+def test_searches_on_texts_as_ids(spark):
+    """Blocks without rows on one side fit IDs that are texts, as those of merged data sets."""
+    x, _ = blobs(60)
+    s = to_samples(spark, x)
+    want = {(f"A/{i:03d}", f"A/{j:03d}") for i, row in enumerate(nearest(x, 3)) for j in row}
+    near = knn(named(s), named(s), 3, 8).collect()
+    assert {(r.sample_id, r.neighbor_id) for r in near} == want
+    x[np.random.default_rng(6).random(x.shape) < 0.2] = np.nan
+    got = vector(knn_impute_samples(named(to_samples(spark, x)), 3, 8), "features")
+    assert np.allclose(np.array(got.tolist()), impute(x, 3))
+
+
 def test_pruning_survives_a_large_offset(spark):
     x, _ = blobs(100, 5, 3, seed=4)
     s = to_samples(spark, x * [1.0, 100.0, 0.01] + 1e6)
