@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from coterie.operators.figures import cluster_ranks, silhouette_histogram
+from coterie.operators.metrics import _added_up, _cluster_sums
 from coterie.operators.metrics import adjusted_rand, davies_bouldin, evaluate, silhouette, silhouette_samples
 from coterie.operators.validate import choose_k, train_test_split
 from coterie.plans import blocks
@@ -19,6 +21,15 @@ def test_silhouette_over_many_blocks(spark):
     assert np.allclose(h.vector(got, "silhouette"), h.silhouettes(x, labels))
 
 
+def test_a_task_adds_up_what_its_blocks_find(spark):
+    """A row per sample and cluster for a pair of sides, not for each of their blocks."""
+    x, truth = h.blobs(120, 3, 4, spread=4.0)
+    s = h.to_samples(spark, x, y=truth).select("sample_id", "features", F.array("y").alias("clusters"))
+    sums = blocks.block_pairs(s, 120, 32, "sample_id", _cluster_sums, "sample_id long, run_at int, own int, cluster int, s double",
+                              block_rows=10, min_sides=1, merge=_added_up)
+    assert sums.count() == 120 * 3 * blocks.n_sides(120, 32, 10)
+
+
 def test_linear_silhouette_equals_pairs(spark):
     x, truth = h.blobs(80, 3, 4, spread=4.0)
     x = np.vstack([x, np.repeat(x[:1], 40, 0)]) + 1e4
