@@ -1,11 +1,13 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from coterie.operators.impute import gap_bounds, knn_impute_samples
-from coterie.operators.neighbors import cheapest, knn, knn_affinity
+from coterie.operators import impute as impute_module, neighbors
+from coterie.operators.impute import donor_kernel, gap_bounds, knn_impute_samples, side_donors
+from coterie.operators.neighbors import best_kernel, cheapest, knn, knn_affinity, side_kernel
 from coterie.operators.validate import classify_knn
-from coterie.plans import tree
+from coterie.plans import grid, tree
 from coterie.plans.cells import pivot_distances
 from coterie.plans.tree import meet
 
@@ -188,3 +190,76 @@ def test_impute_copies_and_hopeless_gaps(spark):
     x[:44, 0] = np.nan  # row 44 shares no feature with any other
     got = np.array(vector(knn_impute_samples(to_samples(spark, x), 3), "features").tolist())
     assert np.allclose(got, impute(x, 3))
+
+
+def rows_of(x, key, ids, w=1.0):
+    return pd.DataFrame({key: ids, "features": list(x), "w": w})
+
+
+def sorted_rows(df, cols):
+    return df.sort_values(cols).reset_index(drop=True)[cols]
+
+
+@pytest.mark.parametrize("kind", ["noise", "offset", "far", "ties", "tiny"])
+@pytest.mark.parametrize("ward", [False, True])
+def test_sides_find_what_a_block_pair_does(monkeypatch, kind, ward):
+    """Single precision rules pairs out, but costs and ties are those of the differences."""
+    for module in (neighbors, grid):
+        for name, value in (("QUERY_STEP", 64), ("POINT_STEP", 128)):
+            monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(9)
+    noise = rng.normal(size=(600, 5))
+    x = {"noise": noise, "offset": noise + 1e6, "ties": rng.integers(0, 4, (600, 5)).astype(float), "tiny": noise * 1e-200,
+         "far": np.where(np.arange(600)[:, None] < 300, noise, noise * 1e-3 + 1e5)}[kind]
+    ids, w = rng.permutation(600) * 3, rng.integers(1, 5, 600).astype(float)
+    points, queries = rows_of(x, "pid", ids, w), rows_of(x[:150], "qid", ids[:150], w[:150])
+    for k, skip_self in ((1, True), (4, False)):
+        want = best_kernel(k, ward, skip_self)(points, queries)
+        cols = ["qid", "cost", "pid"]
+        assert sorted_rows(side_kernel(k, ward, skip_self)(points, queries), cols).equals(sorted_rows(want, cols))
+
+
+@pytest.mark.parametrize("point_bytes", [48 << 20, 900])
+@pytest.mark.parametrize("pays", [True, False])
+def test_knn_by_sides_or_tree_is_the_same(spark, monkeypatch, point_bytes, pays):
+    """Many points: a tree is tried, and used if it pays."""
+    monkeypatch.setattr(neighbors, "FEW_BLOCKS", 1)
+    monkeypatch.setattr(neighbors, "QUERY_SIDES", 10**6 if pays else -1)
+    monkeypatch.setattr(grid, "POINT_BYTES", point_bytes)
+    monkeypatch.setattr(grid, "SIDE_QUERIES", 20)
+    x, _ = blobs(120)
+    s = to_samples(spark, x)
+    assert (found(knn(s, s, 4, 16), 120, 4) == nearest(x, 4)).all()
+
+
+def test_rows_sent_don_t_grow_with_the_leaves():
+    """615,000 vectors of 64 numbers are 301 leaves, each of which a query without bounds would go to."""
+    queries, points = grid.n_sides(615_000, 615_000, 512)
+    assert queries + points <= 40 and 615_000 * 512 / points <= 64 << 20
+
+
+@pytest.mark.parametrize("kind", ["noise", "many", "offset", "ties"])
+def test_sides_fill_gaps_as_a_block_pair_does(monkeypatch, kind):
+    for module in (impute_module, grid):
+        for name, value in (("QUERY_STEP", 64), ("POINT_STEP", 128)):
+            monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(10)
+    x = rng.integers(0, 4, (500, 6)).astype(float) if kind == "ties" else rng.normal(size=(500, 6)) + 1e6 * (kind == "offset")
+    x[rng.random(x.shape) < (0.6 if kind == "many" else 0.1)] = np.nan
+    if kind == "many":  # few donors have one feature
+        x[:, 3] = np.where(np.arange(500) % 100 == 7, x[:, 4], np.nan)
+    ids = rng.permutation(500) * 3
+    points, queries = rows_of(x, "pid", ids), rows_of(x[:150], "qid", ids[:150])
+    cols = ["qid", "pos", "cost", "pid", "x"]
+    assert sorted_rows(side_donors(5)(points, queries), cols).equals(sorted_rows(donor_kernel(5)(points, queries), cols))
+
+
+@pytest.mark.parametrize("pays", [True, False])
+def test_impute_by_sides_or_tree_is_the_same(spark, monkeypatch, pays):
+    monkeypatch.setattr(impute_module, "FEW_BLOCKS", 1)
+    monkeypatch.setattr(impute_module, "QUERY_SIDES", 10**6 if pays else -1)
+    monkeypatch.setattr(grid, "POINT_BYTES", 900)
+    x, _ = blobs(80)
+    x[np.random.default_rng(6).random(x.shape) < 0.2] = np.nan
+    got = vector(knn_impute_samples(to_samples(spark, x), 3, 16), "features")
+    assert np.allclose(np.array(got.tolist()), impute(x, 3))
