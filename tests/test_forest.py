@@ -94,3 +94,19 @@ def test_levels_in_several_passes(spark, monkeypatch):
     assert (whole.probabilities(x)[:, 0] >= 0).all() and max(max(t.depth) for t in parts.trees) <= 3
     for a, b in zip(whole.trees, parts.trees):
         assert a.feature[0] == b.feature[0] and a.bin[0] == b.bin[0]
+
+
+def test_a_pass_sends_what_rows_can_count(spark, monkeypatch):
+    """Counts that are zero stay behind: deep levels have more nodes than rows to fill them."""
+    key, w = np.array([5, 1, 5, 900_000]), np.array([1, 2, 3, 1])
+    for size in (16, 1_000_000):
+        keys, sums = forest._counted(key[:3] if size == 16 else key, w[:3] if size == 16 else w, size)
+        assert keys.tolist() == [1, 5] + [900_000] * (size > 16) and sums.tolist() == [2, 4] + [1] * (size > 16)
+    x, y = h.blobs(60, 3, 4, seed=4, spread=9.0)
+    s = h.to_samples(spark, x, cluster=y)
+    whole = forest.random_forest(s, 4, 7)
+    monkeypatch.setattr(forest, "MAX_COUNTS", 200)  # two nodes a group
+    parts = forest.random_forest(s, 4, 7)
+    for a, b in zip(whole.trees, parts.trees):
+        for name in ("feature", "bin", "left", "depth", "counts"):
+            assert (getattr(a, name) == getattr(b, name)).all()
