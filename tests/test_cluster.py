@@ -191,3 +191,41 @@ def test_fuzzy_consensus_does_not_depend_on_partitions(spark):
     a = h.vector(fuzzy_consensus(df, 3, [2.0, 1.0, 1.0]))
     b = h.vector(fuzzy_consensus(df.repartition(5), 3, [2.0, 1.0, 1.0]))
     assert (a == b).all() and (a == h.canonical(truth)).all()
+
+
+def test_the_top_of_the_tree_grows_with_the_vectors_and_is_bounded(spark, monkeypatch):
+    assert [cluster.top_of_tree(n) for n in (100, 1000, 5000, 10**6)] == [512, 512, 2500, 4096]
+    x = np.random.default_rng(5).normal(size=(60, 3))
+    s, kernel = h.to_samples(spark, x), cluster.best_kernel
+    asked, on_spark = [], []
+
+    def counted(*a, **options):
+        inner = kernel(*a, **options)
+
+        def run(points, queries):
+            asked.append(len(queries))
+            return inner(points, queries)
+
+        return run
+
+    round_of = cluster._merge_round
+    monkeypatch.setattr(cluster, "best_kernel", counted)
+    monkeypatch.setattr(cluster, "_merge_round", lambda *a: on_spark.append(a[1]) or round_of(*a))
+    monkeypatch.setattr(cluster, "TOP_ROWS", 4)
+    monkeypatch.setattr(cluster, "TOP_STEP", 8)
+    got = h.vector(cluster.ward(s, 3, block_rows=64))
+    assert on_spark and min(on_spark) > 30 and max(asked) <= 8
+    assert (got == h.greedy_ward(x, 3)).all()
+
+
+def test_a_multiplication_shuffles_only_what_is_sent(spark):
+    sc = spark.sparkContext
+    edge = (0, np.array([0, 0], "<i4").tobytes(), np.array([0, 1], "<i4").tobytes(), np.array([1, 0], "<i4").tobytes(),
+            np.array([2.0, 3.0]).tobytes())
+    v = np.array([[1.0], [10.0]]).tobytes()
+    packed = sc.parallelize([(0, edge)]).partitionBy(2)
+    state = sc.parallelize([(0, (2, v, v)), (1, (1, v[:8], v[:8]))]).partitionBy(2)
+    grown = cluster._grow(packed, state, 1, 0, 2)
+    assert grown.toDebugString().decode().count("+-(") == 3  # the two inputs, and what is sent
+    found = {b: (n, np.frombuffer(new).tolist(), np.frombuffer(basis).tolist()) for b, (n, new, basis) in grown.collect()}
+    assert found == {0: (2, [20.0, 3.0], [1.0, 20.0, 10.0, 3.0]), 1: (1, [0.0], [1.0, 0.0])}
