@@ -214,3 +214,16 @@ def test_ids_are_judged_by_the_first_row_of_the_file(spark, tmp_path):
     info = spark.createDataFrame([("ENSG1", "ONE"), ("ENSG2", ""), ("ENSG3", "THREE")], "id string, symbol string")
     assert {r.gene for r in ids.convert_prefixed_ids(cells, info, "ord").collect()} == {"ONE", "THREE"}
     assert {r.gene for r in ids.convert_prefixed_ids(cells, info, "gene").collect()} > {"AFFX-1", "ENSG1", "ENSG2"}
+
+
+def test_many_cells_are_dealt_over_more_tasks(spark, monkeypatch):
+    from coterie import session
+    from coterie.operators import ids
+
+    cells = [(d, s, g, float(s + g)) for d in "ab" for s in range(20) for g in range(5)] + [("a", 1, 9, 1.0), ("a", 0, 0, 4.0)]
+    expr = spark.createDataFrame(cells, "dataset string, sample_id int, gene int, value double")
+    monkeypatch.setattr(session, "ROWS_PER_TASK", 4)
+    kept = ids.intersect_genes(expr)
+    assert kept.rdd.getNumPartitions() == 51 > session.shuffle_width(spark)  # 201 cells, 4 to a task
+    got = {(r.dataset, r.sample_id, r.gene): r.value for r in ids.dedup_mean(kept).collect()}
+    assert got == {c[:3]: c[3] for c in cells[:-2]} | {("a", 0, 0): 2.0}
