@@ -5,7 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from coterie.functions.columns import dense_index, number_or_null
-from coterie.operators import ids, labels, qc
+from coterie.functions.tables import to_long
+from coterie.operators import consensus, ids, labels, qc, validate
+from coterie.plans import jobs
 from coterie.plans.jobs import Dataset, load_datasets, run_multi, write_results
 from coterie.sources import catalog, mappings, matrix, series
 
@@ -227,3 +229,26 @@ def test_many_cells_are_dealt_over_more_tasks(spark, monkeypatch):
     assert kept.rdd.getNumPartitions() == 51 > session.shuffle_width(spark)  # 201 cells, 4 to a task
     got = {(r.dataset, r.sample_id, r.gene): r.value for r in ids.dedup_mean(kept).collect()}
     assert got == {c[:3]: c[3] for c in cells[:-2]} | {("a", 0, 0): 2.0}
+
+
+def test_an_analysis_computes_each_base_clustering_once(spark, monkeypatch):
+    """The ensemble and the ablation share them."""
+    seen = []
+
+    def counted(name):
+        def run(samples, k, *_, **__):
+            seen.append(name)
+            return samples.select("sample_id", (F.col("features")[0] > 0).cast("int").alias("cluster"))
+
+        return run
+
+    for module in (consensus, validate):
+        for name in ("kmeans", "ward", "spectral"):
+            if module is validate or name != "kmeans":  # the hard consensus is a k-means of its own
+                monkeypatch.setattr(module, name, counted(name))
+    monkeypatch.setattr(jobs, "classifier_test", lambda samples, *_: samples)
+    x, truth = h.blobs(60, 2, 4)
+    cells = to_long(h.to_samples(spark, x))
+    out = jobs.run_single(cells, h.to_samples(spark, x[:, :1], y=truth).select("sample_id", "y"), n_init=2, k_range=(2, 2), figures=False)
+    assert out["ablation"].count() == 4
+    assert sorted(seen) == ["kmeans", "spectral", "ward"]

@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -263,3 +264,18 @@ def test_impute_by_sides_or_tree_is_the_same(spark, monkeypatch, pays):
     x[np.random.default_rng(6).random(x.shape) < 0.2] = np.nan
     got = vector(knn_impute_samples(to_samples(spark, x), 3, 16), "features")
     assert np.allclose(np.array(got.tolist()), impute(x, 3))
+
+
+def test_texts_as_ids_are_no_chunks(monkeypatch):
+    """Where pandas keeps texts in Arrow, parts one below the other are chunks, which a task can't return."""
+    for module in (impute_module, neighbors, grid):
+        for name, value in (("QUERY_STEP", 16), ("POINT_STEP", 32)):
+            monkeypatch.setattr(module, name, value, raising=False)
+    x, _ = blobs(60)
+    gaps = np.where(np.random.default_rng(3).random(x.shape) < 0.2, np.nan, x)
+    ids = np.array([f"A/{i}" for i in range(60)])
+    with pd.option_context("future.infer_string", True):
+        for kernel, at in ((side_kernel(2, False, True), x), (side_donors(3), gaps), (donor_kernel(3), gaps)):
+            out = kernel(rows_of(at, "pid", ids), rows_of(at, "qid", ids))
+            for col in ("qid", "pid"):
+                assert isinstance(pa.Array.from_pandas(out[col], type=pa.string()), pa.Array)
