@@ -279,3 +279,23 @@ def test_texts_as_ids_are_no_chunks(monkeypatch):
             out = kernel(rows_of(at, "pid", ids), rows_of(at, "qid", ids))
             for col in ("qid", "pid"):
                 assert isinstance(pa.Array.from_pandas(out[col], type=pa.string()), pa.Array)
+
+
+def test_only_gaps_left_open_are_searched_again(monkeypatch):
+    """Half of the values are missing: few gaps of a sample lack donors among its nearest."""
+    full, again = donor_kernel(5), []
+
+    def counted(points, queries, *asked):
+        out = full(points, queries, *asked)
+        again.append(len(out[["qid", "pos"]].drop_duplicates()))
+        return out
+
+    monkeypatch.setattr(impute_module, "donor_kernel", lambda k: counted)
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(400, 30))
+    x[rng.random(x.shape) < 0.5] = np.nan
+    got = side_donors(5)(rows_of(x, "pid", np.arange(400)), rows_of(x, "qid", np.arange(400)))
+    cols = ["qid", "pos", "cost", "pid", "x"]
+    want = full(rows_of(x, "pid", np.arange(400)), rows_of(x, "qid", np.arange(400)))
+    assert sorted_rows(got, cols).equals(sorted_rows(want, cols))
+    assert sum(again) < 0.02 * np.isnan(x).sum()
