@@ -1,8 +1,10 @@
+import threading
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coterie.operators import cluster, kmeans as km
+from coterie.operators import cluster, consensus, kmeans as km, validate
 from coterie.operators.cluster import spectral, spectral_embedding, ward
 from coterie.operators.consensus import (
     coassociation, consensus_features, fuzzy_consensus, fuzzy_ensemble, hard_ensemble, wide_labels,
@@ -229,3 +231,37 @@ def test_a_multiplication_shuffles_only_what_is_sent(spark):
     assert grown.toDebugString().decode().count("+-(") == 3  # the two inputs, and what is sent
     found = {b: (n, np.frombuffer(new).tolist(), np.frombuffer(basis).tolist()) for b, (n, new, basis) in grown.collect()}
     assert found == {0: (2, [20.0, 3.0], [1.0, 20.0, 10.0, 3.0]), 1: (1, [0.0], [1.0, 0.0])}
+
+
+@pytest.mark.parametrize("of", ["ensemble", "ablation"])
+def test_base_clusterings_run_at_once(spark, monkeypatch, of):
+    """None of the three waits for another one to end."""
+    met = threading.Barrier(3, timeout=60)
+
+    def run(samples, k, *_, **__):
+        met.wait()
+        return samples.select("sample_id", F.lit(0).alias("cluster"))
+
+    module = consensus if of == "ensemble" else validate
+    for name in ("kmeans", "ward", "spectral"):
+        monkeypatch.setattr(module, name, run)
+    s = h.to_samples(spark, h.blobs(12)[0])
+    if of == "ensemble":
+        assert consensus.base_runs(s, 2).groupBy("run").count().count() == 3
+    else:
+        assert list(validate.base_clusterings(s, 2)) == ["kmeans", "ward", "spectral"]
+
+
+def test_few_blocks_of_vectors_are_multiplied_in_few_tasks(spark, monkeypatch):
+    seen = []
+    grow = cluster._grow
+
+    def counted(packed, state, p, j, n_parts):
+        seen.append(n_parts)
+        return grow(packed, state, p, j, n_parts)
+
+    monkeypatch.setattr(cluster, "_grow", counted)
+    monkeypatch.setattr(cluster, "BLOCK_NODES", 40)
+    x, _ = h.blobs(120)
+    cluster.spectral_embedding(cluster.knn_affinity(h.to_samples(spark, x), 4), h.to_samples(spark, x), 3)
+    assert set(seen) == {1}
