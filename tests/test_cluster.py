@@ -265,3 +265,18 @@ def test_few_blocks_of_vectors_are_multiplied_in_few_tasks(spark, monkeypatch):
     x, _ = h.blobs(120)
     cluster.spectral_embedding(cluster.knn_affinity(h.to_samples(spark, x), 4), h.to_samples(spark, x), 3)
     assert set(seen) == {1}
+
+
+def test_blocks_of_vectors_grow_with_the_nodes(spark, monkeypatch):
+    """What blocks send each other follows the tasks, not the square of the nodes."""
+    assert cluster._layout(500, 400, 8) == (1, 1)
+    assert [cluster._layout(n, 400, 8) for n in (50_000, 600_000)] == [(8, 8), (18, 18)]
+    assert cluster._layout(600_000, 40_000, 8)[0] > 900  # a basis this wide needs smaller blocks
+    seen, numbered = [], cluster._numbered
+    monkeypatch.setattr(cluster, "_numbered", lambda *a: seen.append(numbered(*a)) or seen[-1])
+    monkeypatch.setattr(cluster, "BLOCK_NODES", 4)
+    x, _ = h.blobs(160)
+    s = h.to_samples(spark, x)
+    got = h.vector(cluster.spectral_embedding(knn_affinity(s, 4), s, 2), "features")
+    n = len(x)
+    assert len(got) == n and seen[0].select("block").distinct().count() == cluster._layout(n, 8 * 10 * 4, 8)[0] <= 8
