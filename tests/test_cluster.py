@@ -280,3 +280,11 @@ def test_blocks_of_vectors_grow_with_the_nodes(spark, monkeypatch):
     got = h.vector(cluster.spectral_embedding(knn_affinity(s, 4), s, 2), "features")
     n = len(x)
     assert len(got) == n and seen[0].select("block").distinct().count() == cluster._layout(n, 8 * 10 * 4, 8)[0] <= 8
+
+
+def test_points_are_sent_to_few_sides_of_queries():
+    from coterie.plans.grid import n_sides
+
+    assert n_sides(600, 2_000, 400) == (2, 1) and n_sides(50_000, 50_000, 400) == (24, 1)
+    assert n_sides(60_000, 600_000, 400) == (3, 10)  # 24 sides of queries before
+    assert n_sides(600_000, 600_000, 400) == (10, 10) and n_sides(60_000, 600_000, 400, 64)[0] == 20
