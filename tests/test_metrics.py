@@ -117,3 +117,24 @@ def test_histogram_of_one_value(spark):
     v = spark.createDataFrame([(0.25,)] * 3, "silhouette double")
     t = silhouette_histogram(v).toPandas()
     assert t["n"].sum() == 3 and len(t) == 20
+
+
+def test_a_job_measures_distances_once_for_all_its_clusterings(spark, monkeypatch):
+    """Once to choose k, once for the final clustering, the ablation and the figures."""
+    from coterie.operators import metrics
+    from coterie.plans import jobs
+
+    calls, pairs = [], metrics.block_pairs
+    monkeypatch.setattr(metrics, "block_pairs", lambda *a, **o: calls.append(1) or pairs(*a, **o))
+    monkeypatch.setattr(jobs, "classifier_test", lambda *a: None)
+    x, truth = h.blobs(40)
+    s = h.to_samples(spark, x)
+    y = spark.createDataFrame([(i, int(c)) for i, c in enumerate(truth)], "sample_id long, y int")
+    out = jobs.analyse(s.select("sample_id", F.posexplode("features").alias("gene", "value")), y, n_init=2)
+    assert out["silhouettes"].columns == ["sample_id", "cluster", "silhouette"]
+    final = out["metrics"].first()
+    want = metrics.evaluate(out["samples"], out["labels"], y).first()
+    assert len(calls) == 3  # the last is this test's own
+    assert final.asDict() == pytest.approx(want.asDict())
+    rows = {r.method: r for r in out["ablation"].collect()}
+    assert rows["Fuzzy Ensemble"].silhouette == pytest.approx(want.silhouette) and len(rows) == 4
